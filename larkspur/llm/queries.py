@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, topk, url_rules
+from . import chat, fingerprint, quality, topk, toxicity, url_rules
 from .store import table
 
 
@@ -30,6 +30,19 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
+    return toxicity.apply(docs, machine).select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
 OP7_RULES = [
     url_rules.prefix_rule("allow", "org", "/"),
     url_rules.prefix_rule("block", "example.org", "/es/"),
@@ -86,10 +99,19 @@ FROM t GROUP BY conv_id
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
+    return quality.apply(docs, model).select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op4_toxicity": op4_toxicity,
+    "op6_fingerprint": op6_fingerprint,
     "op7_url_rules": op7_url_rules,
     "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_chat": _op9_sql()}
