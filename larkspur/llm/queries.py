@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, quality, topk, toxicity, url_rules
+from . import chat, fingerprint, packing, quality, topk, toxicity, url_rules
 from .store import table
 
 
@@ -72,6 +72,16 @@ FROM h LEFT JOIN m USING (page_id)
 """
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own)
@@ -110,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_fingerprint": op6_fingerprint,
     "op7_url_rules": op7_url_rules,
+    "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
 }
