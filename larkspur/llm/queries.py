@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, packing, quality, topk, toxicity, url_rules
+from . import chat, fingerprint, mixing, packing, quality, topk, toxicity, url_rules
 from .store import table
 
 
@@ -30,6 +30,11 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_at", "mix_weight")
+
+
 HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
@@ -117,6 +122,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_fingerprint": op6_fingerprint,
     "op7_url_rules": op7_url_rules,
