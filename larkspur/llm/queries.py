@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, packing, quality, topk, toxicity, url_rules
+from . import chat, fingerprint, jaccard, mixing, packing, quality, topk, toxicity, url_rules
 from .store import table
 
 
@@ -44,6 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(docs, machine).select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_fingerprint": op6_fingerprint,
     "op7_url_rules": op7_url_rules,
     "op8_packing": op8_packing,
