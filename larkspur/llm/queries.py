@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard, mixing, packing, quality, topk, toxicity, url_rules
+from . import chat, fingerprint, html_template, jaccard, mixing, packing, quality, topk, toxicity, url_rules
 from .store import table
 
 
@@ -35,6 +35,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_at", "mix_weight")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
@@ -127,6 +131,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard": op5_jaccard,
     "op6_fingerprint": op6_fingerprint,
