@@ -1,10 +1,59 @@
-"""documents -> training sequences: STAGES in order."""
+"""documents -> training sequences: STAGES, each over all that the one before it kept.
+
+Each function takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import jaccard, mixing, packing, quality, toxicity
+from larkspur.llm.queries import tokenizer
+from larkspur.llm.store import materialize, table
+
+#: Packing depends on how rows are dealt to tasks, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.apply(docs, machine).filter("predicted = 0").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
+    return quality.apply(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link at a Jaccard similarity of 0.8, the one with the smallest id stays; documents
+    without an id or words stay."""
+    named = jaccard.join(docs.filter("doc_id IS NOT NULL"), 5, 80, 100)
+    gone = named.filter("doc_id <> component_id").select("doc_id").distinct()
+    first = docs.filter("doc_id IS NOT NULL").join(materialize(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return first.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer()).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near_duplicates", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
