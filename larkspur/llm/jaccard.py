@@ -54,7 +54,8 @@ def sets_of(buf: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray
 
 
 def node_of(s: np.ndarray) -> int:
-    return int(mix(mix(s + _ODD).sum(dtype=np.uint64)[None] + np.uint64(len(s)) * _ODD).view(np.int64)[0])
+    size = np.array([len(s)], np.uint64)
+    return int(mix(mix(s + _ODD).sum(dtype=np.uint64) + size * _ODD).view(np.int64)[0])
 
 
 def _scheme(j: int, num: int, den: int) -> tuple[int, int]:
