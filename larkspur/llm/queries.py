@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprint, html_template, jaccard, mixing, packing, quality, topk, toxicity, url_rules
@@ -39,13 +39,14 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
-    return toxicity.apply(docs, machine).select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.apply(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +125,8 @@ FROM t GROUP BY conv_id
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
-    return quality.apply(docs, model).select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality.apply(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
