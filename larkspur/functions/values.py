@@ -89,7 +89,7 @@ def real_text(v: float) -> str:
     return out if "." in out else out + ".0"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _real_texts(v: pa.Array) -> pa.Array:
     return pa.array([None if x is None else real_text(x) for x in v.to_pylist()], pa.string())
 
