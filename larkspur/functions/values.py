@@ -7,10 +7,11 @@ blobs. A column's declared type gives it an affinity, which decides how it is co
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,7 @@ _NUMERIC = ("integer", "real", "numeric")
 _WHOLE = r"^[ \t\n\x0B\f\r]*[+-]?[0-9]+[ \t\n\x0B\f\r]*$"
 _REAL = r"^[ \t\n\x0B\f\r]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\x0B\f\r]*$"
 _PREFIX = r"^[ \t\n\x0B\f\r]*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+_START = r"^[ \t\n\x0B\f\r]*([+-]?[0-9]+)"
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -53,23 +55,47 @@ class Value:
     affinity: str | None = None  # None: no column's
     test: Column | None = None  # as a condition, where the value is one
     literal: object = None
+    simple: bool = False  # a column or a literal: cheap to name more than once
 
-    def plain(self) -> Value:
-        return replace(self, affinity=None)
+
+def bound(f: Callable) -> Callable:
+    """f, but an operand that is a long expression of no fixed class is computed once and named: f uses its operands
+    several times, and nested calls would grow without bound. (A lambda over an array of one struct names it.)"""
+
+    @functools.wraps(f)
+    def run(*args):
+        heavy = [i for i, a in enumerate(args) if isinstance(a, Value) and a.kind in ("mixed", "text", "blob") and not a.simple]
+        if not heavy:
+            return f(*args)
+        found: list = []
+
+        def body(s: Column) -> Column:
+            own = list(args)
+            for i in heavy:
+                own[i] = replace(args[i], col=s.getField(f"v{i}"), simple=True)
+            found.append(f(*own))
+            return found[0].col if isinstance(found[0], Value) else found[0]
+
+        col = F.get(F.transform(F.array(F.struct(*[args[i].col.alias(f"v{i}") for i in heavy])), body), F.lit(0))
+        if not isinstance(found[0], Value):
+            return col
+        return replace(found[0], col=col, test=None if found[0].test is None else col != 0, simple=False)
+
+    return run
 
 
 def literal(value: object) -> Value:
     if value is None:
-        return Value(F.lit(None), "null")
+        return Value(F.lit(None), "null", simple=True)
     if isinstance(value, bool):
         raise TypeError(value)
     if isinstance(value, int):
-        return Value(F.lit(value).cast("long"), "int", literal=value)
+        return Value(F.lit(value).cast("long"), "int", literal=value, simple=True)
     if isinstance(value, float):
-        return Value(F.lit(value).cast("double"), "real", literal=value)
+        return Value(F.lit(value).cast("double"), "real", literal=value, simple=True)
     if isinstance(value, bytes):
-        return Value(F.lit(value), "blob", literal=value)
-    return Value(F.lit(value), "text", literal=value)
+        return Value(F.lit(value), "blob", literal=value, simple=True)
+    return Value(F.lit(value), "text", literal=value, simple=True)
 
 
 def condition(test: Column) -> Value:
@@ -89,15 +115,27 @@ def real_text(v: float) -> str:
     return out if "." in out else out + ".0"
 
 
-@F.arrow_udf(T.StringType())
-def _real_texts(v: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else real_text(x) for x in v.to_pylist()], pa.string())
+def _real_texts(v: Column) -> Column:
+    """real_text() in SQL functions: 15 significant digits, laid out by their exponent."""
+    shown = F.format_string("%.14e", v)
+    digits = F.rtrim(F.concat(F.regexp_extract(shown, r"(\d)\.", 1), F.regexp_extract(shown, r"\.(\d+)e", 1)), F.lit("0"))
+    power = F.regexp_extract(shown, r"e([+-]\d+)$", 1).try_cast("int")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    tail = lambda c: F.when(c == "", F.lit("0")).otherwise(c)
+    large = F.concat(F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."), tail(F.substr(digits, power + 2)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    mark = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), tail(F.substr(digits, F.lit(2))), mark, F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    layout = F.when((power < -4) | (power >= 15), wide).when(power < 0, small).otherwise(large)
+    inf = float("inf")
+    return F.when(v == 0, F.lit("0.0")).when(v == inf, F.lit("Inf")).when(v == -inf, F.lit("-Inf")).otherwise(F.concat(sign, layout))
 
 
 def _field(v: Value, name: str) -> Column:
     return v.col.getField(name)
 
 
+@bound
 def mixed(v: Value) -> Column:
     """v as a MIXED struct; null if it is NULL."""
     if v.kind == "mixed":
@@ -114,6 +152,7 @@ def mixed(v: Value) -> Column:
     return F.when(v.col.isNotNull(), F.struct(*[c.alias(k) for k, c in fields.items()])).cast(MIXED)
 
 
+@bound
 def text(v: Value) -> Column:
     """v as text; null if it is NULL."""
     match v.kind:
@@ -133,11 +172,11 @@ def text(v: Value) -> Column:
 
 
 def _number_of_text(t: Column) -> tuple[Column, Column, Column]:
-    """(is a whole number, it, as a double) of the longest numeric prefix; no prefix counts as 0."""
-    prefix = F.regexp_extract(t, _PREFIX, 1)
-    whole = F.regexp_like(prefix, F.lit(r"^[+-]?[0-9]*$"))
-    i = F.when(prefix == "", F.lit(0).cast("long")).otherwise(prefix.try_cast("long"))
-    return whole & i.isNotNull(), i, F.when(prefix == "", F.lit(0.0)).otherwise(prefix.try_cast("double"))
+    """(is the longest numeric prefix a whole number, the longest whole prefix, the longest prefix as a double); none counts as 0."""
+    prefix, start = F.regexp_extract(t, _PREFIX, 1), F.regexp_extract(t, _START, 1)
+    i = F.when(start == "", F.lit(0).cast("long")).otherwise(start.try_cast("long"))
+    d = F.when(prefix == "", F.lit(0.0)).otherwise(prefix.try_cast("double"))
+    return (prefix == start) & i.isNotNull(), F.coalesce(i, d.try_cast("long")), d
 
 
 def _numbers(v: Value) -> tuple[bool | Column, Column, Column]:
@@ -151,11 +190,11 @@ def _numbers(v: Value) -> tuple[bool | Column, Column, Column]:
             return False, v.col.try_cast("long"), v.col
         case "text" | "blob":
             if isinstance(v.literal, str):
-                m = re.match(_PREFIX, v.literal)
-                found = m[1] if m else "0"
-                if re.fullmatch("[+-]?[0-9]+", found) and abs(int(found)) < 1 << 63:
-                    return _numbers(literal(int(found)))
-                return _numbers(literal(float(found)))
+                m, n = re.match(_PREFIX, v.literal), re.match(_START, v.literal)
+                start, d = int(n[1]) if n else 0, float(m[1]) if m else 0.0
+                fits = abs(start) < 1 << 63
+                whole = fits and (not m or bool(n) and n[1] == m[1])
+                return whole, F.lit(start if fits else None).cast("long"), F.lit(d)
             whole, i, d = _number_of_text(text(v))
             known = v.col.isNotNull()
             return whole, F.when(known, i), F.when(known, d)
@@ -193,6 +232,7 @@ def _both(a: bool | Column, b: bool | Column) -> bool | Column:
 _I64 = float(1 << 63)
 
 
+@bound
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     """+ - * / %. Whole numbers whose result overflows raise; a real operand makes it REAL."""
     if a.kind == "null" or b.kind == "null":
@@ -212,6 +252,7 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     return _either(whole, rest, rest.cast("double"))
 
 
+@bound
 def bits(op: str, a: Value, b: Value) -> Value:
     (_, x, _), (_, y, _) = _numbers(a), _numbers(b)
     if op == "&":
@@ -224,6 +265,7 @@ def bits(op: str, a: Value, b: Value) -> Value:
     return Value(F.when(y >= 0, toward(y)).otherwise(away(-y)), "int")
 
 
+@bound
 def negate(v: Value) -> Value:
     if v.literal is not None and v.kind in ("int", "real"):
         return literal(-v.literal)
@@ -250,6 +292,7 @@ def concat(a: Value, b: Value) -> Value:
     return Value(F.concat(text(a), text(b)), "text")
 
 
+@bound
 def truth(v: Value) -> Column:
     """v as a condition: null if it is NULL."""
     if v.test is not None:
@@ -305,6 +348,7 @@ _OPS = {
 }
 
 
+@bound
 def compare(op: str, a: Value, b: Value) -> Value:
     """= != < <= > >=, NULL if a side is NULL; IS, ISNOT, which never are."""
     a, b = _alike(a, b)
@@ -358,6 +402,7 @@ def member(v: Value, items: list[Value], negated: bool) -> Value:
     return condition(~found if negated else found)
 
 
+@bound
 def class_name(v: Value) -> Column:
     """typeof()"""
     names = {"int": "integer", "real": "real", "text": "text", "blob": "blob"}
@@ -372,9 +417,10 @@ def class_name(v: Value) -> Column:
     return F.when(v.col.isNull(), F.lit("null")).otherwise(F.lit(names[v.kind]))
 
 
+@bound
 def sort_column(v: Value) -> Column:
     if v.kind == "mixed":
-        return F.when(v.col.isNotNull(), F.struct(_field(v, "cls"), _field(v, "num"), F.coalesce(_field(v, "i"), F.lit(0).cast("long")), _field(v, "t"), _field(v, "b")))
+        return F.when(v.col.isNotNull(), F.struct(_field(v, "cls"), _field(v, "num"), F.coalesce(_field(v, "i"), _field(v, "num").try_cast("long"), F.lit(0).cast("long")), _field(v, "t"), _field(v, "b")))
     return v.col
 
 
@@ -390,6 +436,7 @@ def unify(values: list[Value]) -> list[Value]:
     return [Value(mixed(v), "mixed") for v in values]
 
 
+@bound
 def cast(v: Value, declared: str) -> Value:
     kind = affinity_of(declared)
     if v.kind == "null":
@@ -400,8 +447,8 @@ def cast(v: Value, declared: str) -> Value:
         return Value(text(v).cast("binary") if v.kind != "blob" else v.col, "blob", "blob")
     whole, i, d = _numbers(v)
     if kind == "integer":
-        inside = F.when(d >= _I64, F.lit((1 << 63) - 1)).when(d <= -_I64, F.lit(-(1 << 63))).otherwise(d.try_cast("long"))
-        return Value(i if whole is True else inside if whole is False else F.when(whole, i).otherwise(inside), "int", "integer")
+        inside = F.when(d >= _I64, F.lit((1 << 63) - 1)).when(d <= -_I64, F.lit(-(1 << 63))).otherwise(F.coalesce(i, d.try_cast("long")))
+        return Value(i if whole is True else inside, "int", "integer")
     if kind == "real":
         return Value(d, "real", "real")
     return replace(_either(whole, i, d), affinity="numeric")

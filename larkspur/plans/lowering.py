@@ -56,7 +56,7 @@ class Part:
 
 def _value_of(raw: Column, kind: str, affinity: str | None) -> Value:
     col = {"int": raw, "real": raw.cast("double"), "text": raw.cast("string")}.get(kind, raw)
-    return Value(col, kind, affinity)
+    return Value(col, kind, affinity, simple=True)
 
 
 def _quoted(name: str) -> Column:
@@ -133,11 +133,11 @@ class Scope:
                 return V.member(self.value(operand), [self.value(x) for x in items], negated)
             case Between(operand, low, high, negated):
                 v = self.value(operand)
-                test = V.compare(">=", v, self.value(low)).test & V.compare("<=", v, self.value(high)).test
+                test = V.truth(V.compare(">=", v, self.value(low))) & V.truth(V.compare("<=", v, self.value(high)))
                 return V.condition(~test if negated else test)
             case Case(base, whens, other):
                 b = self.value(base) if base is not None else None
-                tests = [V.truth(self.value(w)) if b is None else V.compare("=", b, self.value(w)).test for w, _ in whens]
+                tests = [V.truth(self.value(w)) if b is None else V.truth(V.compare("=", b, self.value(w))) for w, _ in whens]
                 return choose(list(zip(tests, [self.value(t) for _, t in whens], strict=True)), self.value(other) if other is not None else None)
             case Cast(operand, kind):
                 return V.cast(self.value(operand), kind)
@@ -248,7 +248,7 @@ class Lowering:
             a, b = scope.column(Name(name)), part.columns.get(name.lower())
             if a is None or b is None:
                 raise LookupError(f"cannot join using column {name} - column not present in both tables")
-            same = V.compare("=", a.value, b.value).test
+            same = V.truth(V.compare("=", a.value, b.value))
             test = same if test is None else test & same
             if join.kind in ("right", "full"):
                 both = V.unify([a.value, b.value])
