@@ -16,7 +16,7 @@ rows (taken blocks) are a written table, which Spark broadcasts if its size allo
 
 Defined results: a null source is a source of its own; null texts have no tokens and null ids hash like any value; rows without tokens
 come along with their block; repeated rows are rows each; sources without tokens get weight 0 and no row; an empty table gives no rows. Columns named
-__* are dropped.
+__* or mix_* are dropped from the input.
 """
 
 from __future__ import annotations
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, evenness: float | None = 0.95, repeats: float | None =
     """docs' rows as often as the mix takes them, with mix_epoch, mix_block, mix_at, mix_weight.
 
     evenness: the target entropy as a share of the most, log(number of sources); budget: tokens, all by default."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith(("__", "mix_"))])
     keyed = _keyed(docs)
     fine = materialize(keyed.groupBy("__source", "__fine").agg(F.sum("__tokens").alias("tokens")), "mixing-fine")
     totals = fine.groupBy("__source").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")

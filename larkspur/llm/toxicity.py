@@ -82,7 +82,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], epochs: int = 25, rate: floa
     some = slot[bucket] >= 0
     doc, term = doc[some], slot[bucket[some]].astype(np.int64)
     rng = np.random.default_rng(7)
-    w, v = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS))
+    w, v = np.zeros(len(kept)), rng.normal(0, 0.1, (len(kept), FACTORS))
     w2, v2, b2 = np.full(len(kept), 1e-3), np.full(v.shape, 1e-3), 1e-3
     first = np.searchsorted(doc, np.arange(len(rows) + 1))
     for _ in range(epochs):
@@ -100,7 +100,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], epochs: int = 25, rate: floa
             w2[u] += gw**2
             v2[u] += gv**2
             w[u] -= rate * gw / np.sqrt(w2[u])
-            v[u] -= 0.3 * rate * gv / np.sqrt(v2[u])
+            v[u] -= rate * gv / np.sqrt(v2[u])
             b2 += (g := e.sum()) ** 2
             bias -= rate * g / b2**0.5
     return Machine(float(bias), slot, w, v)

@@ -1,0 +1,54 @@
+from larkspur.llm import html_template as H
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def one(html):
+    return H.extract_group([html])[0]
+
+
+def test_marked_article():
+    page = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var a = "</p><article>no</article>";</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
+    <article><h1>Title &amp; more</h1><p>One&nbsp; two<br>three <b>four</b>, <a href=x>five</a>.<p>Six &lt;7&gt; &#8364;
+    <ul><li>a<li>b</ul><form><label>Mail</label><input><button>Go</button></form><aside>Related</aside><section id="comments"><p>first!</p></section></article>
+    <div class="sidebar">Side</div><footer>&copy; me</footer>"""
+    assert one(page) == "Title & more\n\nOne two three four, five.\n\nSix <7> €\n\na\n\nb"
+
+
+def test_unmarked_pages_of_one_host_use_their_template():
+    def page(i):
+        body = " ".join(f"word{i}x{j}" for j in range(60))
+        return f"<html><body><div class=top>Welcome to the shop</div><div class=links><a href=1>One</a> <a href=2>Two</a></div><div class=c1><p>{body}</p><p>The end of {i}.</p></div><div class=b>All rights kept</div></body></html>"
+
+    for i, text in enumerate(H.extract_group([page(i) for i in range(12)])):
+        assert text.startswith(f"word{i}x0 ") and text.endswith(f"\n\nThe end of {i}.") and "Welcome" not in text and "rights" not in text
+
+
+def test_repeated_paragraphs_stay():
+    pages = [f"<article><p>Own text {i}</p><p>The same line everywhere</p></article>" for i in range(20)]
+    assert H.extract_group(pages)[3] == "Own text 3\n\nThe same line everywhere"
+    assert set(H.extract_group([pages[0]] * 30)) == {"Own text 0\n\nThe same line everywhere"}
+
+
+def test_classes_are_ordered_and_nested():
+    pages = [H._Page(f"<div><ul>{'<li>x' * n}</ul><p>{n}</div>") for n in (1, 2, 3, 2)]
+    taken, where = H._classes(pages)
+    paths = [[t[0].rsplit("/", 1)[-1] for t in order] for order in taken]
+    assert ["div", "ul", "p"] in paths and any(p[0] == "li" for p in paths)
+
+
+def test_broken_and_odd_html():
+    assert one("") == "" and one("<") == "<" and one("<p") == "" and one("<!-- x") == "" and one("<script>x") == ""
+    assert one('<p title="a>b">x</p>') == "x" and one("<article>" + "<div>" * 2000 + "deep") == "deep"
+    assert one("a < b &amp;lt; c") == "a < b &lt; c" and one("<p>" + "word " * 50_000).count("word") == 50_000
+    assert one("<p title='" + "<" * 20_000) == ""
+
+
+def test_table(frame):
+    page = "<article><p>Text %d</p></article>"
+    rows = [(i, f"http://hot.example/{i}", page % i) for i in range(200)] + [(500, None, None), (501, "nope", page % 501), (502, "http://b.example", ""), (3, "http://hot.example/3", page % 3), (None, None, page % 7)]
+    got = sorted((-1 if r["page_id"] is None else r["page_id"], r["text"], r["n_chars"]) for r in H.extract(frame(rows, SCHEMA)).collect())
+    want = sorted((i if i is not None else -1, "" if not h else f"Text {h.split('Text ')[1].split('<')[0]}") for i, _, h in rows)
+    assert [(a, b) for a, b, _ in got] == want and all(n == len(t) for _, t, n in got)
+    assert H.extract(frame([], SCHEMA)).collect() == []
