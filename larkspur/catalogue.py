@@ -102,6 +102,12 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "ext_except": ("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier", None),
     "ext_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
     "ext_derived_table": ("SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 15", "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) AS d WHERE n > 15"),
+    "ext_cte": ("WITH big AS (SELECT o_custkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 300000), n(k, c) AS (SELECT k, count(*) FROM big GROUP BY k) SELECT k, c FROM n WHERE c > 1", None),
+    "ext_window_rank": ("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn, rank() OVER (ORDER BY c_nationkey) AS rk FROM customer", None),
+    "ext_window_frame": ("SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part"),
+    "ext_in_query": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", None),
+    "ext_not_in_query": ("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)", None),
+    "ext_exists": ("SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 99)", None),
 }
 
 

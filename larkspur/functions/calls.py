@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .values import (
     DialectError, Value, _either, _numbers, class_name, compare, condition, literal, sort_column, text, truth, unify,
@@ -147,3 +148,23 @@ def like(op: str, v: Value, pattern: Value) -> Value:
         i += 1
     return condition(F.regexp_like(text(v), F.lit(f"(?s)\\A{out}\\z")))
 
+
+def windowed(name: str, args: list[Value], distinct: bool, spec: WindowSpec) -> Value:
+    """A ranking, offset or aggregate function over a window."""
+    n = name.lower()
+    ranks = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
+    if n in ranks:
+        return Value(ranks[n]().over(spec).cast("long"), "int")
+    if n == "ntile":
+        return Value(F.ntile(args[0].literal).over(spec).cast("long"), "int")
+    if n in ("percent_rank", "cume_dist"):
+        return Value(getattr(F, n)().over(spec), "real")
+    if n in ("lag", "lead"):
+        v, step = args[0], args[1].literal if len(args) > 1 else 1
+        return Value(getattr(F, n)(v.col, step, args[2].literal if len(args) > 2 else None).over(spec), v.kind, v.affinity)
+    if n in ("first_value", "last_value"):
+        return Value(getattr(F, n)(args[0].col).over(spec), args[0].kind, args[0].affinity)
+    if n not in ("count", "sum", "avg", "min", "max") or distinct or any(a.kind == "mixed" for a in args):
+        raise DialectError(f"no such window function: {name}")
+    found = aggregate(name, args, False)
+    return Value(found.col.over(spec), found.kind, found.affinity)

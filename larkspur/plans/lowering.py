@@ -9,18 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, fields, is_dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.calls import aggregate, choose, is_aggregate, like, scalar
+from ..functions.calls import aggregate, choose, is_aggregate, like, scalar, windowed
 from ..functions.values import Value
 from ..operators.rows import cut, ordered, sort_key
 from ..operators.sets import combine
 from ..sources.catalogue import Catalogue
 from ..sources.sqlite_file import ROWID
 from .nodes import (
-    Between, Binary, Call, Case, Cast, Core, InList, IsNull, Item, Join, Key, Literal, Name, Node, Select, Source, Star, Unary, title,
+    Between, Binary, Call, Case, Cast, Core, Exists, InList, InQuery, IsNull, Item, Join, Key, Literal, Name, Node, Select, Source, Star, Unary,
+    Windowed, title,
 )
 
 ROWID_NAMES = ("rowid", "_rowid_", "oid")
@@ -141,6 +142,13 @@ class Scope:
                 return choose(list(zip(tests, [self.value(t) for _, t in whens], strict=True)), self.value(other) if other is not None else None)
             case Cast(operand, kind):
                 return V.cast(self.value(operand), kind)
+            case Windowed(call, partition, order, rows):
+                spec = Window.partitionBy(*[self.value(p).col for p in partition]).orderBy(*[sort_key(self.value(k.expr), k.descending, k.nulls_first) for k in order])
+                if rows:
+                    low, high = rows
+                    spec = spec.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+                args = [] if call.args == (Star(),) else [self.value(a) for a in call.args]
+                return windowed(call.name, args, call.distinct, spec)
             case Call(name, args, _):
                 if is_aggregate(name, len(args)):
                     raise V.DialectError(f"misuse of aggregate function {name}()")
@@ -159,14 +167,37 @@ class Output:
         return self.frame.toDF(*self.names) if self.frame.columns != self.names else self.frame
 
 
+def _conjuncts(node: Node) -> Iterator[Node]:
+    if isinstance(node, Binary) and node.op == "AND":
+        yield from _conjuncts(node.left)
+        yield from _conjuncts(node.right)
+    else:
+        yield node
+
+
+def aggregates(node: object) -> list[Call]:
+    """Aggregate calls that are no window functions."""
+    over = {x.call for x in walk(node) if isinstance(x, Windowed)}
+    return [x for x in walk(node) if isinstance(x, Call) and is_aggregate(x.name, len(x.args)) and x not in over]
+
+
 class Lowering:
     def __init__(self, catalogue: Catalogue):
         self.catalogue = catalogue
+        self.ctes: dict[str, tuple] = {}  # by name: column names, statement, the ones before it
 
     def run(self, statement: Select) -> DataFrame:
         return self.select(statement).named()
 
     def select(self, s: Select) -> Output:
+        if s.ctes:
+            outer = self.ctes
+            try:
+                for name, columns, query in s.ctes:
+                    self.ctes = {**self.ctes, name.lower(): (columns, query, self.ctes)}
+                return self.select(replace(s, ctes=()))
+            finally:
+                self.ctes = outer
         if len(s.cores) == 1:
             return self.core(s.cores[0], s.order, s.limit, s.offset)
         outs = [self.core(c, (), None, 0) for c in s.cores]
@@ -197,8 +228,20 @@ class Lowering:
 
     def _source(self, source: Source, number: int | None, wants_rowid: bool, wants_order: bool) -> tuple[DataFrame, Part, tuple[str, ...]]:
         """The source's frame, its names, and the columns of its storage order. number: in a join, to keep names apart."""
-        if isinstance(source.table, Select):
-            inner = self.select(source.table)
+        named = self.ctes.get(source.table.lower()) if isinstance(source.table, str) else None
+        if named or isinstance(source.table, Select):
+            if named:
+                columns, query, before = named
+                here, self.ctes = self.ctes, before  # a statement sees those before it
+                inner = self.select(query)
+                self.ctes = here
+                if columns:
+                    if len(columns) != len(inner.names):
+                        raise V.DialectError(f"table {source.table} has {len(inner.names)} values for {len(columns)} columns")
+                    inner = replace(inner, names=list(columns))
+                source = Source(query, source.alias or source.table)
+            else:
+                inner = self.select(source.table)
             df = inner.frame.toDF(*[f"_{i}" for i in range(len(inner.names))])
             own = {n.lower(): (n, F.col(f"_{i}"), inner.kinds[i], inner.affinities[i]) for i, n in reversed(list(enumerate(inner.names)))}
             own = dict(reversed(own.items()))
@@ -264,13 +307,13 @@ class Lowering:
         return df.join(right, test, how), scope
 
     def core(self, core: Core, order: tuple[Key, ...], limit: int | None, offset: int) -> Output:
-        grouped = bool(core.group) or core.having is not None or any(isinstance(x, Call) and is_aggregate(x.name, len(x.args)) for x in walk((core.items, order)))
+        grouped = bool(core.group) or core.having is not None or bool(aggregates((core.items, order)))
         plain = not grouped and not core.distinct
         df, scope, storage = self._from(core, order, plain and (bool(order) or limit is not None or offset > 0))
         items = self._items(core.items, scope)
         scope.aliases = {i.alias.lower(): i.expr for i in reversed(items) if i.alias}
-        if core.where is not None:
-            df = df.filter(V.truth(scope.value(core.where)))
+        for test in _conjuncts(core.where) if core.where is not None else ():
+            df = self._where(df, scope, test)
         if grouped:
             df = self._group(df, scope, core, items, order)
             if core.having is not None:
@@ -295,6 +338,28 @@ class Lowering:
             return self._finish(out, order, limit, offset) if order or limit is not None or offset else out
         return out
 
+    def _where(self, df: DataFrame, scope: Scope, test: Node) -> DataFrame:
+        """One condition of WHERE's conjunction; a subquery there is a semi or anti join."""
+        negated = isinstance(test, Unary) and test.op == "NOT" and isinstance(test.operand, (InQuery, Exists))
+        inner = test.operand if negated else test
+        if isinstance(inner, Exists):
+            some = self.select(inner.query).frame.limit(1).select(F.lit(1).alias("__any"))
+            return df.join(some, F.lit(True), "left_anti" if negated else "left_semi")
+        if not isinstance(inner, InQuery):
+            return df.filter(V.truth(scope.value(test)))
+        out = self.select(inner.query)
+        if len(out.names) != 1:
+            raise V.DialectError("sub-select returns more than one column")
+        right = out.frame.toDF("__in")
+        left, item = scope.value(inner.operand), _value_of(F.col("__in"), out.kinds[0], None)
+        same = V.truth(V.compare("=", left, item))
+        if not (negated ^ inner.negated):
+            return df.join(right, same, "left_semi")
+        # NOT IN: nothing if the list has a NULL, and a NULL on the left only passes an empty list
+        holes = right.agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col("__in").isNull(), 1)).alias("__null"))
+        kept = df.join(right, same, "left_anti").join(F.broadcast(holes), F.lit(True))  # one row
+        return kept.filter((F.col("__n") == 0) | (left.col.isNotNull() & (F.col("__null") == 0))).drop("__n", "__null")
+
     def _items(self, items: tuple[Item, ...], scope: Scope) -> list[Item]:
         out = []
         for item in items:
@@ -311,10 +376,7 @@ class Lowering:
     def _group(self, df: DataFrame, scope: Scope, core: Core, items: list[Item], order: tuple[Key, ...]) -> DataFrame:
         keys = [_ordinal(g, items) for g in core.group]
         key_values = [scope.value(k) for k in keys]
-        calls = list(dict.fromkeys(
-            x for x in walk((tuple(items), core.having or (), order)) if isinstance(x, Call) and is_aggregate(x.name, len(x.args))
-        ))
-        calls += [c for a in scope.aliases.values() for c in walk(a) if isinstance(c, Call) and is_aggregate(c.name, len(c.args)) and c not in calls]
+        calls = list(dict.fromkeys(aggregates((tuple(items), core.having or (), order, tuple(scope.aliases.values())))))
         found = [aggregate(c.name, [] if c.args in ((), (Star(),)) else [scope.value(a) for a in c.args], c.distinct) for c in calls]
         inside = {n for c in calls for n in walk(c.args) if isinstance(n, Name)}
         # a column that is neither grouped nor aggregated takes the value of some row of the group

@@ -75,7 +75,27 @@ class Cast:
     type: str
 
 
-Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast
+@dataclass(frozen=True)
+class Windowed:
+    call: Call
+    partition: tuple[Node, ...]
+    order: tuple[Key, ...]
+    rows: tuple[int | None, int | None] | None = None  # offsets from the current row; None is unbounded
+
+
+@dataclass(frozen=True)
+class InQuery:
+    operand: Node
+    query: Select
+    negated: bool = False
+
+
+@dataclass(frozen=True)
+class Exists:
+    query: Select
+
+
+Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast | Windowed | InQuery | Exists
 
 
 @dataclass(frozen=True)
@@ -125,6 +145,7 @@ class Select:
     limit: int | None = None
     offset: int = 0
     explain: bool = field(default=False)
+    ctes: tuple[tuple[str, tuple[str, ...], Select], ...] = ()  # name, column names, statement
 
 
 def title(node: Node) -> str:
@@ -153,4 +174,10 @@ def title(node: Node) -> str:
             return f"CAST({title(operand)} AS {kind})"
         case Case():
             return "CASE"
+        case Windowed(call):
+            return f"{title(call)} OVER"
+        case InQuery(operand, _, negated):
+            return f"{title(operand)} {'NOT ' * negated}IN (SELECT)"
+        case Exists():
+            return "EXISTS"
     raise TypeError(node)

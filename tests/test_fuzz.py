@@ -128,6 +128,12 @@ def test_filters_and_order(pair):
     "SELECT coalesce(a, b, c) AS v, ifnull(c, 0.5) AS w, nullif(a, 7) AS x, abs(a) AS y, length(b) AS z, upper(b) AS u, id FROM t ORDER BY id",
     "SELECT count(*) FROM (SELECT DISTINCT b FROM t)",
     "SELECT a & 3 AS x, a | 8 AS y, a << 2 AS z, a >> 1 AS w, ~a AS v, id FROM t ORDER BY id",
+    "SELECT id FROM t WHERE a IN (SELECT id FROM t) ORDER BY id",
+    "SELECT id FROM t WHERE a NOT IN (SELECT id FROM t WHERE id > 8) ORDER BY id",
+    "SELECT id FROM t WHERE a NOT IN (SELECT a FROM t) ORDER BY id",
+    "SELECT id FROM t WHERE a NOT IN (SELECT a FROM t WHERE id > 999) ORDER BY id",
+    "WITH x(k) AS (SELECT a FROM t), y AS (SELECT k + 1 AS m FROM x WHERE k IS NOT NULL) SELECT m, count(*) AS n FROM y GROUP BY m ORDER BY m",
+    "SELECT id, row_number() OVER (ORDER BY b, id) AS r, sum(a) OVER (PARTITION BY b ORDER BY id) AS s, count(*) OVER (PARTITION BY b) AS n, lead(id, 2) OVER (ORDER BY id) AS l FROM t ORDER BY id",
     "SELECT max(a, id) AS hi, min(a, id, 3) AS lo, id FROM t ORDER BY id",
 ])
 def test_statement(pair, sql):
