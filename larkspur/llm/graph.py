@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, materialize
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each node to the smallest node of its component, for edges in hand."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        root = i
+        while (p := up.get(root, root)) != root:
+            root = p
+        while i != root:
+            up[i], i = root, up.get(i, root)
+        return root
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        up[max(x, y)] = up[min(x, y)] = min(x, y)
+    found = [(find(i), i) for i in up if find(i) != i]
+    out = np.array(found, np.int64).reshape(len(found), 2)
+    return out[:, 0], out[:, 1]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b long. node, label: the smallest node of its component; nodes without edges are absent.
 
-    Each round a node takes the smallest label among its neighbours', then its label's own label; the number of rounds grows with the
-    logarithm of the components' width. Labels are a written table after each round. A hub's rows are pre-aggregated
-    or left to the skew join."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        step = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = materialize(step.join(up, "label").select("node", F.least("label", "above").alias("label"), (F.least("label", "above") < F.col("old")).alias("moved")), "labels")
-        moved = not new.filter("moved").isEmpty()
-        discard(labels)
-        at, labels = new.stored_at, new.select("node", "label")
-        labels.stored_at = at
-        if not moved:
-            discard(both)
-            return labels
+    Each round every node hooks onto its smallest neighbour, and onto that one's; then edges are redrawn between what their
+    ends hooked onto, and those within one are dropped. Edges shrink from round to round, whose number grows with the logarithm
+    of the components' width. Every round's tables are written; a hub's rows are pre-aggregated or left to the skew join."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    now = materialize(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "edges")
+    hooks: list[DataFrame] = []
+    while not now.isEmpty() or not hooks:
+        both = now.union(now.select("b", "a"))
+        up = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("up")), "up")
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("label"))
+        hook = materialize(up.join(above, "up").select("node", "label"), "hooks")
+        a, b = (hook.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        redrawn = now.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        old, now = now, materialize(redrawn, "edges")
+        discard(old, up)
+        hooks.append(hook)
+    labels = hooks[0]
+    for hook in hooks[1:]:
+        after = hook.select(F.col("node").alias("label"), F.col("label").alias("__after"))
+        labels = labels.join(after, "label", "left").select("node", F.coalesce("__after", "label").alias("label"))
+    if len(hooks) > 1:
+        labels = materialize(labels, "labels")
+        discard(*hooks)
+    discard(now)
+    return labels

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .store import discard, materialize
 from .text import SPACES, chunks, joined, mix, words
 
@@ -92,6 +92,9 @@ _ROUTED = "doc_id long, rid long, n long, node long, key long, other long"
 _ROUTED_FIELDS = pa.schema([(c.split()[0], pa.int64()) for c in _ROUTED.split(", ")])
 
 
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _routed(rows: int, **columns) -> pa.RecordBatch:
     nulls = pa.nulls(rows, pa.int64())
     as_long = lambda x: x if isinstance(x, pa.Array) else pa.array(np.asarray(x, np.int64))
@@ -99,13 +102,14 @@ def _routed(rows: int, **columns) -> pa.RecordBatch:
 
 
 def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of sorted, distinct (key, node): each key's first node, and edges from it to the others."""
+    """Of sorted, distinct (key, node): each key's first node, and edges that connect all the nodes of each key."""
     lead = np.ones(len(key), bool)
     lead[1:] = key[1:] != key[:-1]
     head = node[np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
     a, b = head[~lead], node[~lead]
-    edges = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return key[lead], node[lead], edges[:, 0], edges[:, 1]
+    pairs = a.view(np.uint64) * _ODD ^ b.view(np.uint64)
+    first = np.unique(pairs, return_index=True)[1]  # most pairs share many keys
+    return key[lead], node[lead], *forest(a[first], b[first])
 
 
 def _route(k: int, num: int, den: int):
@@ -146,11 +150,18 @@ def _route(k: int, num: int, den: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) in order: an edge from each key's first node to its others; one node is held."""
-    last_key = last_node = head = None
+    """Rows (key, node) in order: edges that connect the nodes of each key. Of a key that goes on, one node is held."""
+    last_key = head = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])) if held else _NONE
+        held.clear()
+        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
     for batch in batches:
         key, node = (batch.column(i).to_numpy() for i in (0, 1))
-        if last_key is not None:  # go on with the open key
+        if last_key is not None:
             key, node = np.concatenate([[last_key], key]), np.concatenate([[head], node])
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
@@ -159,8 +170,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         _, heads, a, b = _stars(key, node)
         last_key, head = key[-1], heads[-1]
-        some = a != b
-        yield pa.record_batch([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
+        held.append((a, b))
+        if sum(len(x) for x, _ in held) >= FLUSH:
+            yield flush()
+    yield flush()
 
 
 class _Forest:
@@ -176,8 +189,9 @@ class _Forest:
             self.up = up
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            i = self.up[i] = self.up[self.up[i]]
+        while (above := self.up[i]) != i:
+            self.up[i] = self.up[above]
+            i = self.up[i]
         return i
 
     def join(self, i: int, j: int) -> bool:
