@@ -366,7 +366,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     members = routed.filter("key IS NULL AND other IS NULL AND node IS NOT NULL").select("doc_id", "rid", "n", "node")
     firsts = members.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"))
     wanted = materialize(groups.select("node", F.col("label").alias("comp")).join(firsts, "node").select("rid", "node", "comp"), "wanted")
-    sets = materialize(rows.select("rid", "text").join(wanted, "rid").select("text", "node", "comp").mapInArrow(_sets(k), "comp long, node long, n long, shingles binary"), "shingles")
+    # wanted grows with the corpus: one plan at all sizes, though a small one could be broadcast
+    sets = materialize(rows.select("rid", "text").join(wanted.hint("merge"), "rid").select("text", "node", "comp").mapInArrow(_sets(k), "comp long, node long, n long, shingles binary"), "shingles")
     links = _links(sets, num, den)
     discard(sets, wanted)
     labels = components(links)
