@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import materialize
 from .url_rules import host_of
 
-GROUP, GROUP_BYTES, SURE, OTHER = 64, 4 << 20, 8, 0.5
+GROUP, GROUP_BYTES, SURE, OTHER, DEPTH = 64, 4 << 20, 8, 0.5, 100
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -56,7 +56,8 @@ _OUT_NAMES = re.compile(
     r"cookies?\w*|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w+|sign-?up|login|comments?|commentlist|disqus|respond|reply|replies|"
     r"share|sharing|social|related|recommend\w*|pagination|pager|tags|toolbar|skip-?link|print-?only|copyright)(?:$|[\s_-])"
 )
-_MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[_-]?(?:body|content|text))?(?:$|[\s])|^content$")
+_HEAD_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|top|logo)(?:$|[\s_-])")
+_MAIN_NAMES = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|main|page|blog|news)[_-]?(?:body|content|text|main)?|content(?:[_-]?(?:body|main|area|inner))?|(?:body|main)[_-]?(?:copy|text|content))(?:$|\s)")
 
 
 class _Page:
@@ -127,16 +128,17 @@ class _Page:
             _, path, out, container, link = stack[-1] if stack else ("", "", False, -1, False)
             name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip().lower()
             role = attrs.get("role", "").lower()
-            inside = container >= 0 and any(k in ("article", "main") for k in self._kinds(container))
+            inside = container >= 0 and any(self._kinds(container))
             out = out or tag in _OUT_TAGS or role in _OUT_ROLES or tag == "header" and not inside or "hidden" in attrs
             out = out or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             kind = "article" if tag == "article" or "articlebody" in attrs.get("itemprop", "").lower() else "main" if tag == "main" or role == "main" else ""
             if not kind and not out and name:
-                if _OUT_NAMES.search(name) and tag not in ("html", "body"):
+                if tag not in ("html", "body") and (_OUT_NAMES.search(name) or not inside and tag != "h1" and _HEAD_NAMES.search(name)):
                     out = True
                 elif tag in ("div", "section", "td") and _MAIN_NAMES.search(name):
                     kind = "named"
-            path = f"{path}/{tag}.{name}" if name else f"{path}/{tag}"
+            if len(stack) < DEPTH:  # what lies deeper counts as part of its ancestor there
+                path = f"{path}/{tag}.{name[:200]}" if name else f"{path}/{tag}"
             self.tokens.append((path, None))
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -149,7 +151,7 @@ class _Page:
                 continue
             if tag in ("td", "th"):
                 self.texts.append((None, block, " ", out, container, link))
-            if tag in _BLOCK or tag == "td":
+            if (tag in _BLOCK or tag == "td") and len(stack) < DEPTH:
                 self.containers.append((path, container, kind if not out else ""))
                 container = len(self.containers) - 1
             stack.append((tag, path, out, container, link or tag == "a"))
@@ -209,8 +211,11 @@ def _template_text(pages: list[_Page]) -> set[tuple]:
     return {t for order in taken for t in order if t[1] and sum(map(bool, where[t].values())) > 0.8 * len(pages)}
 
 
-def _main(page: _Page, fixed: set[tuple], favourite: str | None) -> int:
-    """Number of the container whose text is the main text, or -1."""
+_LEAVES = set("p li h1 h2 h3 h4 h5 h6 td tr pre blockquote dd dt".split())
+
+
+def _sizes(page: _Page, fixed: set[tuple]) -> Counter:
+    """Characters of text by container, links against them; without what is left out or part of the template."""
     size: Counter = Counter()
     for token, _, plain, out, container, link in page.texts:
         if not out and token is not None and page.tokens[token] not in fixed:
@@ -218,22 +223,48 @@ def _main(page: _Page, fixed: set[tuple], favourite: str | None) -> int:
             while c >= 0:
                 size[c] += len(plain) * (-1 if link else 1)
                 c = page.containers[c][1]
+    return size
+
+
+def _favourite(pages: list[_Page], fixed: set[tuple]) -> str | None:
+    """Path of the element that holds most of the slots' text over the pages: from the outermost down, as long as one
+    element, found once on nearly all pages, has most of all the text and leaves no title behind."""
+    total, once, titles = Counter(), Counter(), Counter()
+    for page in pages:
+        seen = Counter(path for path, _, _ in page.containers)
+        once.update(path for path, n in seen.items() if n == 1 and path.rsplit("/", 1)[-1].split(".")[0] not in _LEAVES)
+        for c, n in _sizes(page, fixed).items():
+            total[page.containers[c][0]] += n
+        titles.update({page.tokens[t][0] for t, _, _, out, _, _ in page.texts if t is not None and not out and "/h1" in page.tokens[t][0] and page.tokens[t] not in fixed})
+    some = [p for p in total if once[p] >= 0.8 * len(pages) and total[p] > 0]
+    if not some:
+        return None
+    at = start = max(some, key=lambda p: (total[p], -len(p)))
+    while True:
+        title = sum(n for p, n in titles.items() if p.startswith(at + "/"))
+        below = [
+            p for p in some if p.startswith(at + "/") and total[p] >= 0.6 * total[start]
+            and (not title or sum(n for q, n in titles.items() if q.startswith(p + "/")) >= 0.5 * title)
+        ]
+        if not below:
+            return at
+        at = min(below, key=len)
+
+
+def _marked(page: _Page, fixed: set[tuple]) -> int:
+    """Number of the container that is marked as the main one, or -1."""
+    size = _sizes(page, fixed)
     for kind in ("article", "main", "named"):
         some = [c for c, x in enumerate(page.containers) if x[2] == kind]
         if some:
             return max(some, key=lambda c: (size[c], -c))
-    if favourite is not None:
-        some = [c for c, x in enumerate(page.containers) if x[0] == favourite]
-        if some:
-            return max(some, key=lambda c: (size[c], -c))
-    if not size:
-        return -1
-    c = max(size, key=lambda c: (size[c], -c))
-    while True:  # down to the smallest element that holds nearly all of it
-        below = [k for k in size if page.containers[k][1] == c and size[k] >= 0.85 * size[c]]
-        if not below or page.containers[below[0]][0].rsplit("/", 1)[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td"):
-            return c
-        c = below[0]
+    return -1
+
+
+def _at_path(page: _Page, path: str | None, fixed: set[tuple]) -> int:
+    size = _sizes(page, fixed)
+    some = [c for c, x in enumerate(page.containers) if x[0] == path]
+    return max(some or size, key=lambda c: (size[c], -c), default=-1)
 
 
 def _text(page: _Page, main: int, fixed: set[tuple]) -> str:
@@ -255,13 +286,10 @@ def extract_group(htmls: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     pages = [_Page(h) for h in htmls]
     fixed = _template_text(pages)
-    mains = [_main(p, fixed, None) for p in pages]
-    # pages without a marked main element: the path that most such pages of the group settle on
-    votes = Counter(p.containers[m][0] for p, m in zip(pages, mains, strict=True) if m >= 0 and not p.containers[m][2])
-    if votes:
-        path, n = votes.most_common(1)[0]
-        if n > 1:
-            mains = [_main(p, fixed, path) for p in pages]
+    mains = [_marked(p, fixed) for p in pages]
+    rest = [p for p, m in zip(pages, mains, strict=True) if m < 0]
+    path = _favourite(rest, fixed) if rest else None
+    mains = [m if m >= 0 else _at_path(p, path, fixed) for p, m in zip(pages, mains, strict=True)]
     return [_text(p, m, fixed) for p, m in zip(pages, mains, strict=True)]
 
 

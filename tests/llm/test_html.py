@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from larkspur.llm import html_template as H
 
 SCHEMA = "page_id long, url string, html string"
@@ -25,6 +29,25 @@ def test_unmarked_pages_of_one_host_use_their_template():
         assert text.startswith(f"word{i}x0 ") and text.endswith(f"\n\nThe end of {i}.") and "Welcome" not in text and "rights" not in text
 
 
+LAYOUTS = {
+    "ids": "<body><div id=header><h1>My site</h1></div><div id=nav><a href=/>Home</a></div><div id=content><h2>{t}</h2>{p}<div class=comments><p>{o} {o}</p></div></div><div id=sidebar><p>{o}</p></div><div id=footer>{o}</div>",
+    "no names": "<body><div class=x1><a href=/>Home</a><a href=/b>{o}</a></div><div class=x2><div class=q><h1>{t}</h1></div><div class=z>{p}</div></div><div class=x3>{o}</div><div class=x4>All rights kept</div>",
+    "table": "<body><table><tr><td class=menu><a href=/>Home</a></td><td class=main><h1>{t}</h1>{p}</td></tr></table><p class=legal>Copyright</p>",
+    "main": "<body><header><nav><a>x</a></nav></header><main><header><h1>{t}</h1></header>{p}<section class='post-comments'><p>{o}</p></section></main><aside>{o}</aside><footer>{o}</footer>",
+    "post": "<body><div class='cookie-banner'>{o}</div><div class='post'><h1 class=title>{t}</h1><div class='entry-content'>{p}</div><ol class=commentlist><li>{o}</ol></div><div class='widget-area'>{o} {o}</div>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("n", [1, 3, 20])
+def test_layouts(layout, n):
+    rng = random.Random(n)
+    words = lambda k: " ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 999)}" for _ in range(k))
+    data = [(words(4), [words(rng.randint(5, 60)) for _ in range(rng.randint(1, 6))]) for _ in range(n)]
+    got = H.extract_group([LAYOUTS[layout].format(t=t, p="".join(f"<p>{x}</p>" for x in ps), o=words(8)) for t, ps in data])
+    assert got == ["\n\n".join([t, *ps]) for t, ps in data]
+
+
 def test_repeated_paragraphs_stay():
     pages = [f"<article><p>Own text {i}</p><p>The same line everywhere</p></article>" for i in range(20)]
     assert H.extract_group(pages)[3] == "Own text 3\n\nThe same line everywhere"
@@ -43,6 +66,7 @@ def test_broken_and_odd_html():
     assert one('<p title="a>b">x</p>') == "x" and one("<article>" + "<div>" * 2000 + "deep") == "deep"
     assert one("a < b &amp;lt; c") == "a < b &lt; c" and one("<p>" + "word " * 50_000).count("word") == 50_000
     assert one("<p title='" + "<" * 20_000) == ""
+    assert one("<article>" + "<div>x" * 20_000).count("x") == 20_000
 
 
 def test_table(frame):
