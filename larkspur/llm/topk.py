@@ -21,6 +21,7 @@ candidate to others. Fewer than k candidates: all. Empty table: no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import shared_dir
+
 BINS, BLOCK, BLOCK_BYTES = 512, 4096, 64 << 20
 _EXACT = 2.0**52
 
@@ -108,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK) -> D
     """query_id, rank, vec_id, score of each query's k best. vectors: __id long, __v array<long> (see clean)."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
-    found = None
+    found = stored = None
     size = F.size("__v")
     norm = F.aggregate("__v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     queries = vectors.filter(is_query).groupBy("__id").agg(F.min("__v").alias("__v"))
@@ -128,9 +131,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK) -> D
             q = np.asarray(flat.flatten(), np.int64).reshape(len(qid), n)
             after = int(qid[-1])
             one = _select(spark, same, qid, q, k, largest, schema)
-            found = one if found is None else found.unionByName(one)
+            if found is None:
+                found = one
+            else:  # several blocks: each is written, so that the plan stays small
+                if stored is None:
+                    stored = f"{shared_dir(spark)}/larkspur/topk-{uuid.uuid4().hex}"
+                    found.write.parquet(stored)
+                one.write.mode("append").parquet(stored)
             if part.num_rows < rows:
                 break
+    if stored:
+        found = spark.read.schema(schema).parquet(stored)
     if found is None:
         found = spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
@@ -159,6 +170,7 @@ def _select(spark, vectors: DataFrame, qid, q, k: int, largest: float, schema: s
             F.max(F.when(F.col("upto") >= k, F.col("bin"))).alias("bin"),
             F.max_by(F.col("upto") - F.col("n"), F.when(F.col("upto") >= k, F.col("bin"))).alias("before"),
         ).toArrow()
+        block.unpersist()
         at, bins = cut.column("q").to_numpy(), cut.column("bin").to_numpy(zero_copy_only=False)
         hit = ~np.isnan(bins.astype(float))
         i = at[hit]
