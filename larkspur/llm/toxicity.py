@@ -69,18 +69,22 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], epochs: int = 25, rate: floa
     none = Machine(bias, np.full(SPACE, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not len(labels) or labels.min() == labels.max():
         return none
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bucket = np.concatenate(rows).astype(np.int64)
-    n = np.bincount(bucket, minlength=SPACE)
-    toxic = np.bincount(bucket, labels[doc], SPACE)
+    n, toxic = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+    for i in range(0, len(rows), 256):  # a few rows at once: the sample's terms stand once in memory
+        some = rows[i : i + 256]
+        n += np.bincount(np.concatenate(some), minlength=SPACE).astype(np.int32)
+        bad = [r for r, y in zip(some, labels[i : i + 256], strict=True) if y]
+        if bad:
+            toxic += np.bincount(np.concatenate(bad), minlength=SPACE).astype(np.int32)
     apart = (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
     kept = np.flatnonzero((n >= least) & (np.abs(apart) >= z))
     if not len(kept):
         return none
     slot = np.full(SPACE, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    some = slot[bucket] >= 0
-    doc, term = doc[some], slot[bucket[some]].astype(np.int64)
+    found = [s[s >= 0] for s in (slot[r] for r in rows)]
+    term = np.concatenate(found).astype(np.int64)
+    doc = np.repeat(np.arange(len(rows)), [len(s) for s in found])
     rng = np.random.default_rng(7)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.1, (len(kept), FACTORS))
     w2, v2, b2 = np.full(len(kept), 1e-3), np.full(v.shape, 1e-3), 1e-3
@@ -134,6 +138,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", sample: int = SAMPLE) -> Machine:
     rows = labelled(docs, labels, label, use, sample).mapInArrow(_term_rows, "label int, terms binary").toArrow()
     found = sorted(zip(rows.column("terms").to_pylist(), rows.column("label").to_pylist(), strict=True))
+    del rows
     return fit(np.array([y for _, y in found], float), [np.frombuffer(t, np.int32) for t, _ in found])
 
 
