@@ -131,7 +131,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample
     rank = F.xxhash64(F.lit(17), "doc_id")
     # the bound comes first: only chosen ids meet the texts
     some = one.select("doc_id", "__label").orderBy(rank, "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(some, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most sample rows of two numbers
     return texts.select(F.col("__label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
 
 
