@@ -113,13 +113,17 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     out = Engine(spark)
+    tables = out.catalogue
+
+    def ncust():
+        return tables.add_frame("ncust", spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+            "c_custkey", "c_name", "c_nationkey", F.when(~(F.col("c_acctbal") < 0), F.col("c_acctbal")).alias("c_acctbal"),
+            F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("_metadata.row_index") + 1).alias(ROWID),
+        ), ROWID)
+
     for name in TABLES:
-        out.catalogue.add_parquet(name, f"{sf_dir}/{name}.parquet")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    out.catalogue.add_frame("ncust", rows.select(
-        "c_custkey", "c_name", "c_nationkey", F.when(~(F.col("c_acctbal") < 0), F.col("c_acctbal")).alias("c_acctbal"),
-        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("c_mktsegment"), (F.col("_metadata.row_index") + 1).alias(ROWID),
-    ), ROWID)
+        tables.later[name] = lambda name=name: tables.add_parquet(name, f"{sf_dir}/{name}.parquet")
+    tables.later["ncust"] = ncust
     return out
 
 

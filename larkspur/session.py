@@ -41,3 +41,4 @@ class Engine:
     def close(self) -> None:
         """Forget the tables; the Spark session stays."""
         self.catalogue.tables.clear()
+        self.catalogue.later.clear()

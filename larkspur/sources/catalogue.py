@@ -49,19 +49,23 @@ class Table:
 class Catalogue:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
+        self.later: dict[str, Callable[[], Table]] = {}  # tables that are opened when first named
 
     def add(self, table: Table) -> Table:
         self.tables[table.name.lower()] = table
         return table
 
     def get(self, name: str) -> Table:
-        found = self.tables.get(name.lower())
+        key = name.lower()
+        if key in self.later:
+            self.later.pop(key)()
+        found = self.tables.get(key)
         if found is None:
             raise LookupError(f"no such table: {name}")
         return found
 
     def names(self) -> list[str]:
-        return sorted(self.tables)
+        return sorted({*self.tables, *self.later})
 
     def _typed(self, name: str, df: DataFrame, **more) -> Table:
         kinds = {f.name: kind_of(f.dataType) for f in df.schema}
@@ -96,7 +100,7 @@ class Catalogue:
         """Every <name>.parquet in a local folder."""
         names = sorted(x.removesuffix(".parquet") for x in os.listdir(folder) if x.endswith(".parquet"))
         for name in names:
-            self.add_parquet(name, f"{folder}/{name}.parquet")
+            self.later[name.lower()] = lambda name=name: self.add_parquet(name, f"{folder}/{name}.parquet")
         return names
 
     def add_sqlite(self, path: str) -> list[str]:
