@@ -7,7 +7,8 @@ Jaccard similarity is at least num / den.
    content becomes a key. Sets that link agree on many parts, others on none, so common words and
    shared passages make no hot key. Sets near the upper end of a size class send keys for the next class, too. About PARTS
    keys a set keep the chance that a linked pair shares none under one in a million at the threshold itself, and far
-   lower above it; keys of fewer than two shingles are left out. Nodes that share a key get an edge to the
+   lower above it, for thresholds of 0.8 and more (at 0.6 and below small sets are missed more often: they fill too few
+   parts); keys of fewer than two shingles are left out, and sets that only an equal set can link with have none. Nodes that share a key get an edge to the
    key's smallest node, within the partition first, and the connected components of these edges are the groups
    within which links can lie.
 2. Signature trees. A group's nodes are the leaves of a tree whose inner nodes hold the OR of their bitmaps of hashed
@@ -67,7 +68,7 @@ def _scheme(j: int, num: int, den: int) -> tuple[int, int]:
 
 def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(s)
-    if (n - 1) * den < num * n:  # only an equal set can link
+    if n * den < num * (n + 1):  # only an equal set can link: one more shingle is the least difference
         return s[:0]
     j = n.bit_length() - 1
     out = []

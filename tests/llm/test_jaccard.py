@@ -71,6 +71,17 @@ def test_against_brute_force(frame, seed, k, num):
     assert run(frame, rows, k, num) == brute(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "words"), [(4, 85, 9), (5, 80, 8)])
+def test_smallest_sets_that_link(frame, k, num, words):
+    rows = []
+    for i in range(40):  # a text and the same with one word added at either end, and one too short to link with more than copies
+        t = [f"w{i}x{j}" for j in range(words)]
+        rows += [(4 * i + 3, " ".join(t)), (4 * i + i % 2, " ".join([*t, "more"])), (4 * i + 1 - i % 2, " ".join(["more", *t])), (4 * i + 2, " ".join(t[1:-1]))]
+    want = brute(rows, k, num, 100)
+    assert sum(d != c for d, _, c in want) == 80
+    assert run(frame, rows, k, num) == want
+
+
 def test_large_groups_are_cut_into_blocks(frame, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rows = corpus(7, 120)
