@@ -8,8 +8,9 @@ class taken before (nesting). The valid classes are the template; text between t
 
 The main text is what fills the slots of the main element: an article, else an element marked as main, else
 the template's element with the most slot text that is no link. Menus, headers, footers, sidebars, notices, adverts, forms and
-comments inside are left out by tag, role and class name, template text by its class: a text node that is part of the template on
-nearly all pages of a group of SURE pages or more. Text is never dropped for being repeated on some pages.
+comments inside are left out by tag, role and class name. Inside a marked element nothing else is. On pages without one, template text
+is left out by its class: a text node, in no paragraph, list item, link, inline element or h1, that is part of the template on nearly
+all pages of a group of SURE pages or more.
 
 Text: references decoded, white space inside a block to one space, blocks joined by a blank line.
 
@@ -268,6 +269,7 @@ def _at_path(page: _Page, path: str | None, fixed: set[tuple]) -> int:
 
 
 def _text(page: _Page, main: int, fixed: set[tuple]) -> str:
+    """What the container main holds, without text of fixed outside paragraphs and the like."""
     inside = [False] * len(page.containers)
     for c, (_, parent, _) in enumerate(page.containers):
         inside[c] = c == main or parent >= 0 and inside[parent]
@@ -286,11 +288,11 @@ def extract_group(htmls: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     pages = [_Page(h) for h in htmls]
     fixed = _template_text(pages)
-    mains = [_marked(p, fixed) for p in pages]
-    rest = [p for p, m in zip(pages, mains, strict=True) if m < 0]
+    marked = [_marked(p, fixed) for p in pages]
+    rest = [p for p, m in zip(pages, marked, strict=True) if m < 0]
     path = _favourite(rest, fixed) if rest else None
-    mains = [m if m >= 0 else _at_path(p, path, fixed) for p, m in zip(pages, mains, strict=True)]
-    return [_text(p, m, fixed) for p, m in zip(pages, mains, strict=True)]
+    # inside a marked element, text is never left out for its support alone
+    return [_text(p, m, set()) if m >= 0 else _text(p, _at_path(p, path, fixed), fixed) for p, m in zip(pages, marked, strict=True)]
 
 
 def _group(table: pa.Table) -> pa.Table:

@@ -54,6 +54,16 @@ def test_repeated_paragraphs_stay():
     assert set(H.extract_group([pages[0]] * 30)) == {"Own text 0\n\nThe same line everywhere"}
 
 
+@pytest.mark.parametrize("mark", ["article", "main", "div class=content"])
+@pytest.mark.parametrize("n", [7, 20])
+def test_repeated_text_of_a_marked_element_stays(mark, n):
+    inside = "<h1>Own {i}</h1><h2>Summary</h2>{own}<table><tr><th>Size</th><td>Large</td></tr></table><blockquote>Said by all</blockquote><pre>run</pre><div>Plain</div>"
+    page = f"<body><div class=x>Our shop</div><{mark}>{inside}</{mark.split()[0]}><div class=y>All rights kept</div>"
+    own = [[f"Text {i} {j}" for j in range(12)] for i in range(n)]  # most text differs: these are no copies of one page
+    got = H.extract_group([page.replace("{i}", str(i)).replace("{own}", "".join(f"<p>{x}</p>" for x in own[i])) for i in range(n)])
+    assert got == ["\n\n".join([f"Own {i}", "Summary", *own[i]]) + "\n\nSize Large\n\nSaid by all\n\nrun\n\nPlain" for i in range(n)]
+
+
 def test_classes_are_ordered_and_nested():
     pages = [H._Page(f"<div><ul>{'<li>x' * n}</ul><p>{n}</div>") for n in (1, 2, 3, 2)]
     taken, where = H._classes(pages)
