@@ -4,7 +4,7 @@ Pages of a host are dealt by hash into groups of about GROUP pages (GROUP_BYTES
 many groups. In a group every page is read into tokens: elements, told apart by their path of tags and class names, and
 whole text nodes, told apart by path and text. Tokens with the same vector of occurrences per page form an equivalence class;
 a class is valid if its tokens come in one order, over and over, on every page, and if its occurrences lie within one slot of each
-class taken before (nesting). The valid classes are the template; text between them fills its slots.
+class taken before (nesting); a class that every page has once needs only the order. The valid classes are the template; text between them fills its slots.
 
 The main text is what fills the slots of the main element: an article, else an element marked as main, else
 the template's element with the most slot text that is no link. Menus, headers, footers, sidebars, notices, adverts, forms and
@@ -172,30 +172,23 @@ def _classes(pages: list[_Page]) -> tuple[list[list[tuple]], dict[tuple, tuple]]
         for at, token in enumerate(page.tokens):
             where[token][i].append(at)
     groups: dict[tuple, list[tuple]] = defaultdict(list)
-    for token, held in where.items():
-        if len(held) * 2 >= len(pages):  # large support
-            groups[tuple(len(held.get(i, ())) for i in range(len(pages)))].append(token)
+    for token, at in where.items():
+        if len(at) * 2 >= len(pages):  # large support
+            groups[tuple(len(at.get(i, ())) for i in range(len(pages)))].append(token)
     taken: list[list[tuple]] = []
-    gaps: list[list[list[int]]] = []  # of taken classes, by page: places of their tokens
+    held = [bytearray(len(page.tokens)) for page in pages]  # 1 at the places of all taken classes' tokens
     for vector, tokens in sorted(groups.items(), key=lambda x: (-sum(map(bool, x[0])), sum(x[0]), -len(x[1]))):
         first = next(i for i, n in enumerate(vector) if n)
         order = sorted(tokens, key=lambda t: where[t][first][0])
         places = [sorted((at, k) for k, t in enumerate(order) for at in where[t].get(i, ())) for i in range(len(pages))]
         if any([k for _, k in p] != list(range(len(order))) * n for p, n in zip(places, vector, strict=True)):
             continue  # not in one order
-        nested = True
-        for other in gaps:
-            for i, n in enumerate(vector):
-                for r in range(n):
-                    a, b = places[i][r * len(order)][0], places[i][(r + 1) * len(order) - 1][0]
-                    between = sum(a < x < b for x in other[i]) if len(other[i]) < 64 else 0
-                    nested &= not between or vector == (1,) * len(pages)
-                    if not nested:
-                        break
-        if nested:
+        spans = ((i, p[r * len(order)][0], p[(r + 1) * len(order) - 1][0]) for i, (p, n) in enumerate(zip(places, vector, strict=True)) for r in range(n))
+        if vector == (1,) * len(pages) or all(held[i].find(1, a + 1, b) < 0 for i, a, b in spans):
             taken.append(order)
-            if len(gaps) < 8:
-                gaps.append([[at for at, _ in p] for p in places])
+            for i, p in enumerate(places):
+                for at, _ in p:
+                    held[i][at] = 1
     return taken, where
 
 

@@ -71,6 +71,15 @@ def test_classes_are_ordered_and_nested():
     assert ["div", "ul", "p"] in paths and any(p[0] == "li" for p in paths)
 
 
+@pytest.mark.parametrize(("before", "many"), [(2, 20), (2, 200), (12, 20)])
+def test_a_class_around_a_large_or_a_late_one_is_not_nested(before, many):
+    # the class taken before has many tokens on a page, or is not among the first
+    late = "".join(f"<div class=a{c}></div>" * (c + 2) for c in range(before))
+    pages = [H._Page(f"<body>{late}<u></u>{'<i></i>' * many}<s></s>" if i else f"<body>{late}{'<i></i>' * many}") for i in range(12)]
+    ends = [[t[0].rsplit("/", 1)[-1] for t in order] for order in H._classes(pages)[0]]
+    assert ["u", "s"] not in ends and ["i"] in ends
+
+
 def test_broken_and_odd_html():
     assert one("") == "" and one("<") == "<" and one("<p") == "" and one("<!-- x") == "" and one("<script>x") == ""
     assert one('<p title="a>b">x</p>') == "x" and one("<article>" + "<div>" * 2000 + "deep") == "deep"
