@@ -7,7 +7,8 @@ a class is valid if its tokens come in one order, over and over, on every page,
 class taken before (nesting); a class that every page has once needs only the order. The valid classes are the template; text between them fills its slots.
 
 The main text is what fills the slots of the main element: an article, else an element marked as main, else
-the template's element with the most slot text that is no link. Menus, headers, footers, sidebars, notices, adverts, forms and
+the template's element with the most slot text that is no link. Of several marked elements it is the largest, together with its siblings
+of the same tag and class names. Menus, headers, footers, sidebars, notices, adverts, forms and
 comments inside are left out by tag, role and class name. Inside a marked element nothing else is. On pages without one, template text
 is left out by its class: a text node, in no paragraph, list item, link, inline element or h1, that is part of the template on nearly
 all pages of a group of SURE pages or more.
@@ -68,6 +69,7 @@ class _Page:
         self.tokens: list[tuple] = []
         self.texts: list[tuple] = []
         self.containers: list[tuple[str, int, str]] = []  # path, parent, kind
+        self.like: list[tuple[str, str]] = []  # of containers: tag and class names
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -154,6 +156,7 @@ class _Page:
                 self.texts.append((None, block, " ", out, container, link))
             if (tag in _BLOCK or tag == "td") and len(stack) < DEPTH:
                 self.containers.append((path, container, kind if not out else ""))
+                self.like.append((tag, attrs.get("class", "").lower()))
                 container = len(self.containers) - 1
             stack.append((tag, path, out, container, link or tag == "a"))
 
@@ -245,30 +248,32 @@ def _favourite(pages: list[_Page], fixed: set[tuple]) -> str | None:
         at = min(below, key=len)
 
 
-def _marked(page: _Page, fixed: set[tuple]) -> int:
-    """Number of the container that is marked as the main one, or -1."""
+def _marked(page: _Page, fixed: set[tuple]) -> list[int]:
+    """Numbers of the containers that are marked as the main one: the largest and its siblings of the same kind, tag and classes."""
     size = _sizes(page, fixed)
     for kind in ("article", "main", "named"):
         some = [c for c, x in enumerate(page.containers) if x[2] == kind]
         if some:
-            return max(some, key=lambda c: (size[c], -c))
-    return -1
+            most = max(some, key=lambda c: (size[c], -c))
+            return [c for c in some if page.containers[c][1] == page.containers[most][1] and page.like[c] == page.like[most]]
+    return []
 
 
-def _at_path(page: _Page, path: str | None, fixed: set[tuple]) -> int:
+def _at_path(page: _Page, path: str | None, fixed: set[tuple]) -> list[int]:
     size = _sizes(page, fixed)
     some = [c for c, x in enumerate(page.containers) if x[0] == path]
-    return max(some or size, key=lambda c: (size[c], -c), default=-1)
+    most = max(some or size, key=lambda c: (size[c], -c), default=-1)
+    return [most] if most >= 0 else []
 
 
-def _text(page: _Page, main: int, fixed: set[tuple]) -> str:
-    """What the container main holds, without text of fixed outside paragraphs and the like."""
-    inside = [False] * len(page.containers)
+def _text(page: _Page, main: list[int], fixed: set[tuple]) -> str:
+    """What the containers of main hold, in page order, without text of fixed outside paragraphs and the like."""
+    inside, chosen = [False] * len(page.containers), set(main)
     for c, (_, parent, _) in enumerate(page.containers):
-        inside[c] = c == main or parent >= 0 and inside[parent]
+        inside[c] = c in chosen or parent >= 0 and inside[parent]
     blocks: dict[int, list[str]] = defaultdict(list)
     for token, block, plain, out, container, _ in page.texts:
-        if out or (main >= 0 and not (container >= 0 and inside[container])):
+        if out or (main and not (container >= 0 and inside[container])):
             continue
         if token is not None and page.tokens[token] in fixed and not page.tokens[token][0].rsplit("/", 1)[-1].split(".")[0] in ("p", "b", "i", "em", "strong", "a", "span", "li", "h1"):
             continue
@@ -282,10 +287,10 @@ def extract_group(htmls: list[str]) -> list[str]:
     pages = [_Page(h) for h in htmls]
     fixed = _template_text(pages)
     marked = [_marked(p, fixed) for p in pages]
-    rest = [p for p, m in zip(pages, marked, strict=True) if m < 0]
+    rest = [p for p, m in zip(pages, marked, strict=True) if not m]
     path = _favourite(rest, fixed) if rest else None
     # inside a marked element, text is never left out for its support alone
-    return [_text(p, m, set()) if m >= 0 else _text(p, _at_path(p, path, fixed), fixed) for p, m in zip(pages, marked, strict=True)]
+    return [_text(p, m, set()) if m else _text(p, _at_path(p, path, fixed), fixed) for p, m in zip(pages, marked, strict=True)]
 
 
 def _group(table: pa.Table) -> pa.Table:

@@ -71,6 +71,15 @@ def test_classes_are_ordered_and_nested():
     assert ["div", "ul", "p"] in paths and any(p[0] == "li" for p in paths)
 
 
+@pytest.mark.parametrize("mark", ["section class=content", "article", "article class=part id=a{j}", "main"])
+def test_marked_siblings_are_taken_together(mark):
+    parts = "".join(f"<{mark}><h2>Part {j}</h2><p>{'text ' * (j * 7 % 4)}{j}</p></{mark.split()[0]}>".replace("{j}", str(j)) for j in range(4))
+    aside = "<div class=x><article class=teaser><p>Read this</p></article></div>" if "article" in mark else "<p>Welcome</p>"
+    want = "\n\n".join(f"Part {j}\n\n{'text ' * (j * 7 % 4)}{j}" for j in range(4))
+    for n in (1, 12):
+        assert H.extract_group([f"<body>{aside}<div class=w>{parts}</div><div class=y>All rights kept</div>"] * n) == [want] * n
+
+
 @pytest.mark.parametrize(("before", "many"), [(2, 20), (2, 200), (12, 20)])
 def test_a_class_around_a_large_or_a_late_one_is_not_nested(before, many):
     # the class taken before has many tokens on a page, or is not among the first
