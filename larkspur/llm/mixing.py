@@ -96,7 +96,10 @@ def mix(docs: DataFrame, evenness: float | None = 0.95, repeats: float | None =
     z = sources.agg(F.sum(F.pow("share", F.lit(alpha))).alias("z")).first()["z"] or 1.0
     weight = F.pow("share", F.lit(alpha)) / F.lit(float(z))
     blocks = F.least(F.lit(FINE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("tokens") / F.lit(float(BLOCK_TOKENS))))))).cast("int")
-    quotas = sources.select("__source", F.col("tokens").alias("__all"), weight.alias("mix_weight"), blocks.alias("__blocks"), (weight * F.lit(budget)).alias("__quota"))
+    quota = weight * F.lit(budget)
+    # a whole number of tokens but for rounding is that number: no document is lost or epoch opened by the last bit
+    quota = F.when(F.abs(quota - F.round(quota)) <= quota * F.lit(1e-9), F.round(quota)).otherwise(quota)
+    quotas = sources.select("__source", F.col("tokens").alias("__all"), weight.alias("mix_weight"), blocks.alias("__blocks"), quota.alias("__quota"))
     coarse = (
         fine.join(quotas, "__source").withColumn("mix_block", F.col("__fine") % F.col("__blocks"))
         .groupBy("__source", "mix_block", "mix_weight", "__blocks", "__quota", "__all").agg(F.sum("tokens").alias("tokens"))

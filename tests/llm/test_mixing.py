@@ -63,3 +63,9 @@ def test_edges(frame):
 def test_token_count(spark):
     df = spark.createDataFrame([(" a  b\n\tc ", 3), ("", 0), (None, 0), ("   ", 0), ("x", 1), ("a\x0bb", 2)], "t string, n int")
     assert all(r[0] == r[1] for r in df.select(mixing.token_count(df["t"]), "n").collect())
+
+
+def test_even_sources_keep_every_document_once(frame):
+    rows = [(i, "w " * (20 + i * i % 9), f"s{i}") for i in range(200)] + [(1000 + i, "", f"s{i}") for i in range(200)]
+    got = mixing.mix(frame(rows, "doc_id long, text string, source string")).select("doc_id", "mix_epoch").collect()
+    assert sorted((r["doc_id"], r["mix_epoch"]) for r in got) == sorted((d, 0) for d, _, _ in rows)
