@@ -318,6 +318,7 @@ class Lowering:
             df = self._group(df, scope, core, items, order)
             if core.having is not None:
                 df = df.filter(V.truth(scope.value(core.having)))
+        df = self._windows(df, scope, items, order)
         if not core.distinct:
             keys = [sort_key(scope.value(_ordinal(k.expr, items)), k.descending, k.nulls_first) for k in order]
             if keys or limit is not None or offset:
@@ -338,6 +339,14 @@ class Lowering:
             return self._finish(out, order, limit, offset) if order or limit is not None or offset else out
         return out
 
+    def _windows(self, df: DataFrame, scope: Scope, items: list[Item], order: tuple[Key, ...]) -> DataFrame:
+        """Window functions become columns here: they see every row, before sorting and cutting."""
+        for i, node in enumerate(dict.fromkeys(x for x in walk((tuple(items), order)) if isinstance(x, Windowed))):
+            value = scope.value(node)
+            df = df.withColumn(f"__w{i}", value.col)
+            scope.known[node] = replace(value, col=F.col(f"__w{i}"), test=None, literal=None, simple=True)
+        return df
+
     def _where(self, df: DataFrame, scope: Scope, test: Node) -> DataFrame:
         """One condition of WHERE's conjunction; a subquery there is a semi or anti join."""
         negated = isinstance(test, Unary) and test.op == "NOT" and isinstance(test.operand, (InQuery, Exists))
