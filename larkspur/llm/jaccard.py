@@ -20,8 +20,9 @@ Jaccard similarity is at least num / den.
 No pair list of a group is ever written: a tree gives at most one link fewer than it has nodes.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; a text of fewer
-than k words has one shingle, its whole sequence. component_id is null only where all of a component's ids are; repeated rows are
-rows each, and copies of each other; an empty table gives no rows.
+than k words has one shingle, its whole sequence; a very long text is shingled as a whole. component_id is null only where all of a component's ids are;
+repeated rows are rows each, and copies of each other; rows that share an id but not their text are documents each; an empty table gives no rows. Columns but doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
@@ -89,7 +90,7 @@ def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
-_ROUTED = "doc_id long, rid long, n long, node long, key long, other long"
+_ROUTED = "doc_id long, text_hash long, n long, node long, key long, other long"
 _ROUTED_FIELDS = pa.schema([(c.split()[0], pa.int64()) for c in _ROUTED.split(", ")])
 
 
@@ -140,7 +141,7 @@ def _route(k: int, num: int, den: int):
                         keys.append(own)
                         nodes.append(np.full(len(own), ids[-1], np.int64))
                         held += len(own)
-                yield _routed(j - i, doc_id=batch.column(0).slice(i, j - i), rid=batch.column(1).slice(i, j - i), n=n, node=pa.array(ids, pa.int64()))
+                yield _routed(j - i, doc_id=batch.column(0).slice(i, j - i), text_hash=batch.column(1).slice(i, j - i), n=n, node=pa.array(ids, pa.int64()))
                 if held >= FLUSH:
                     yield from flush()
                     keys, nodes, held = [], [], 0
@@ -356,25 +357,62 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     return first.union(more)
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash (see text_hash()), n_shingles, component (a number for each component; null where there
+    are no words), component_id (the smallest doc_id that links reach)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     routed = materialize(rows.mapInArrow(_route(k, num, den), _ROUTED), "routed")
     keyed = routed.filter("key IS NOT NULL").select("key", "node")
     met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a long, b long")
     edges = routed.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).union(met)
     groups = components(edges)
-    members = routed.filter("key IS NULL AND other IS NULL AND node IS NOT NULL").select("doc_id", "rid", "n", "node")
-    firsts = members.groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"))
-    wanted = materialize(groups.select("node", F.col("label").alias("comp")).join(firsts, "node").select("rid", "node", "comp"), "wanted")
-    # wanted grows with the corpus: one plan at all sizes, though a small one could be broadcast
-    sets = materialize(rows.select("rid", "text").join(wanted.hint("merge"), "rid").select("text", "node", "comp").mapInArrow(_sets(k), "comp long, node long, n long, shingles binary"), "shingles")
+    members = routed.filter("key IS NULL AND other IS NULL AND node IS NOT NULL").select("doc_id", "text_hash", "n", "node")
+    # a node's text is that of one (id, text); no row is met by id alone, so rows that repeat an id meet nothing of each other
+    row = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
+    firsts = members.groupBy("node").agg(F.min(row).alias("row"), F.min("doc_id").alias("first"))
+    wanted = materialize(groups.select("node", F.col("label").alias("comp")).join(firsts, "node").select("row.id", "row.h", "node", "comp"), "wanted")
+    # equal rows are one before they are shuffled; wanted grows with the corpus: one plan at all sizes, though a small one could be broadcast
+    texts = rows.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h")).agg(F.first("text").alias("text"))
+    sets = materialize(texts.join(wanted.hint("merge"), ["id", "h"]).select("text", "node", "comp").mapInArrow(_sets(k), "comp long, node long, n long, shingles binary"), "shingles")
     links = _links(sets, num, den)
     discard(sets, wanted)
     labels = components(links)
-    nodes = firsts.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    smallest = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = nodes.select("node", "label").join(smallest, "label").select("node", "component_id")
-    every = routed.filter("key IS NULL AND other IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    linked = every.filter("node IS NOT NULL").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.union(every.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    nodes = firsts.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("component"))
+    smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = nodes.select("node", "component").join(smallest, "component").select("node", "component", "component_id")
+    every = routed.filter("key IS NULL AND other IS NULL").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node")
+    linked = every.filter("node IS NOT NULL").join(named, "node").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+    alone = every.filter("node IS NULL").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+    return components_of(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null after all others), then of the smallest text hash; of rows that
+    repeat this id and text, one. Rows without words all stay."""
+    taken = set(docs.columns)
+    key = ["__one_id", "__one_hash"]
+    if taken & set(key):
+        raise ValueError(f"columns {key} are taken")
+    found = components_of(docs, k, num, den).filter("component IS NOT NULL").select("component", F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1]))
+    order = F.struct(F.col(key[0]).isNull(), F.col(key[0]), F.col(key[1]))
+    rows = found.groupBy("component", *key).agg(F.count(F.lit(1)).alias("rows"))
+    firsts = rows.groupBy("component").agg(F.min_by(F.struct(*key), order).alias("best"))
+    judged = rows.join(firsts, "component").withColumn("stays", F.struct(*key).eqNullSafe(F.col("best"))).select(*key, "rows", "stays")
+    gone, several = materialize(judged.filter("NOT stays").select(*key), "gone"), materialize(judged.filter("stays AND rows > 1").select(*key), "several")
+    keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: text_hash(F.col("text"))})
+    same = lambda a, b: a[key[1]].eqNullSafe(b[key[1]]) & a[key[0]].eqNullSafe(b[key[0]])
+    left = keyed.join(gone, same(keyed, gone), "left_anti")
+    if several.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(several, same(left, several), "left_anti")
+    repeated = left.join(several, same(left, several), "left_semi").dropDuplicates(key)
+    return once.unionByName(repeated).select(*docs.columns)
