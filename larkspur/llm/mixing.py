@@ -3,20 +3,23 @@
 A source's weight is its token share to the power of an exponent, normalised: 1 keeps the shares, 0 makes
 all sources equal. The exponent is found by bisection, STEPS grid points to a pass over the sources' totals: the
 largest at which the weights' entropy reaches the target, then raised, if need be, to the smallest at which no source
-is repeated more than `repeats` times. A source's quota is its weight times the budget.
-
-Each source's documents are dealt by hash into blocks, a power of two of them, at most FINE. Every epoch
-puts a source's blocks into another order; blocks are taken in that order, epoch after epoch, until the quota is
-full. The block that overruns it is taken document by document, in hash order, as long as the quota has room. So each source
-gets its quota to within a document. `mix_at`, the share of the source's quota that lies before the document's block,
-interleaves the sources when sorted by.
-
-One pass over the texts counts tokens by (source, fine block), at most FINE rows a source; what follows works on those. The plan's
-rows (taken blocks) are a written table, which Spark broadcasts if its size allows.
-
-Defined results: a null source is a source of its own; null texts have no tokens and null ids hash like any value; rows without tokens
-come along with their block; repeated rows are rows each; sources without tokens get weight 0 and no row; an empty table gives no rows. Columns named
-__* or mix_* are dropped from the input.
+is repeated more than `repeats` times. A source's quota is its weight times the budget, in whole tokens.
+
+Each source's documents are dealt by hash into blocks, a power of two of them, of about BLOCK_TOKENS tokens. Every epoch
+permutes a source's blocks (a bijection on their numbers, computed, not stored) and the documents within them; a document's place in an epoch
+is a 63-bit number, the block's place first. A quota is so many whole epochs, and of one more epoch all documents before a cut: the first
+that the quota has no room for. So each source gets its quota to within a document. `mix_at`, the share of the source's quota that lies before
+the document if tokens are spread evenly over places, interleaves the sources when sorted by.
+
+One pass over the texts writes a narrow table (source, hash, tokens). On that, the cuts of all sources are found together by histograms: tokens by
+(source, bin of places), at most BINS rows a source; the bin that holds the cut is cut into bins again, until it has one
+document. The plan is one row a source, whatever its size: a hot source is never gathered in one task. Documents meet the plan by their source, by
+broadcast where Spark finds the written plan small, else in a join whose skewed partitions are split (adaptive execution).
+
+Defined results: a null source is a source of its own; null texts have no tokens and null ids hash like any value; very long texts count as
+a whole; rows without tokens come along with their place; rows that repeat an id and a text have one place and are taken together, so a cut may
+leave the quota short by all of them; sources without tokens get weight 0 and no row; an empty table gives no rows. Columns named __* or mix_* are dropped
+from the input. Without a target (evenness and repeats both None) all weights are equal.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .store import discard, materialize
 
-FINE, BLOCK_TOKENS, STEPS, PASSES = 4096, 1 << 16, 64, 5
-SEED = 20_011
+BLOCK_TOKENS, STEPS, PASSES, BINS = 1 << 16, 64, 5, 1 << 12
+SEED, PLACES, MOST_BLOCK_BITS = 20_011, 63, 30
 
 
 def token_count(text: Column) -> Column:
@@ -42,8 +45,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({
         "__source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")),
         "__hash": F.xxhash64(F.lit(SEED), "doc_id", "text"),
-        "__tokens": token_count(F.col("text")),
-    }).withColumn("__fine", F.pmod("__hash", F.lit(FINE)).cast("int"))
+    })
+
+
+def _shift(direction: str, x: Column, n: Column) -> Column:
+    return F.call_function(f"shift{direction}", x, n.cast("int"))
+
+
+def block_of(hashed: Column, bits: Column) -> Column:
+    return hashed.bitwiseAND(_shift("left", F.lit(1).cast("long"), bits) - 1)
+
+
+def place_of(hashed: Column, bits: Column, epoch: Column) -> Column:
+    """The document's place in an epoch of its source, from 0 to 2**63 - 1: its block's place, then its own within the block."""
+    low = _shift("left", F.lit(1).cast("long"), bits) - 1
+    odd = lambda k: F.xxhash64(F.lit(SEED), F.lit(k), epoch).bitwiseAND(F.lit((1 << 31) - 1)).bitwiseOR(F.lit(1))
+    # odd factors, sums and an exclusive or with the own upper half are bijections on numbers of so many bits
+    b = (block_of(hashed, bits) * odd(1).cast("long") + odd(2).cast("long")).bitwiseAND(low)
+    b = b.bitwiseXOR(_shift("right", b, F.floor((bits + 1) / 2)))
+    b = (b * odd(3).cast("long")).bitwiseAND(low)
+    own = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(SEED), hashed, epoch), (bits + 1).cast("int"))
+    return _shift("left", b, PLACES - bits).bitwiseOR(own)
 
 
 def _measure(sources: DataFrame, alphas: list[float], budget: float) -> list:
@@ -77,17 +99,48 @@ def exponent(sources: DataFrame, budget: float, entropy: float | None, repeats:
                 found = lo
             if lo == hi:
                 break
+        if from_above and found > 1 - 1e-6:
+            found = 1.0  # the end itself, which repeats no more: the sources' own shares, without what the last pass leaves open
     return found
 
 
+def _cuts(narrow: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with __cut: the first place in epoch __epochs that the rest of the quota has no room for. narrow: __source, __hash, tokens."""
+    state = materialize(plan.filter("__rest > 0").select("__source", "__bits", "__epochs", "__rest", F.lit(0).cast("long").alias("__low"), F.lit(0).cast("long").alias("__before")), "mixing-cuts")
+    width = PLACES
+    while width > 0 and not state.isEmpty():
+        step = max(0, width - (BINS.bit_length() - 1))
+        at = narrow.join(state, "__source").withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("__epochs")))
+        # both sides are at most 2**63 - 1: the difference of places does not overflow
+        inside = (F.col("__place") >= F.col("__low")) & (F.shiftright(F.col("__place") - F.col("__low"), width) == 0)
+        bins = at.filter(inside).groupBy("__source", F.shiftright(F.col("__place") - F.col("__low"), step).alias("__bin")).agg(F.sum("tokens").alias("__t"), F.count(F.lit(1)).alias("__n"))
+        up = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BINS rows a source
+        upto = bins.withColumn("__upto", F.sum("__t").over(up)).join(state, "__source")
+        crossing = upto.filter(F.col("__before") + F.col("__upto") > F.col("__rest")).groupBy("__source").agg(F.min_by(F.struct("__bin", "__n", (F.col("__upto") - F.col("__t")).alias("__t")), "__bin").alias("__x"))
+        # a bin crosses in every pass, for an epoch has more tokens than the rest
+        moved = state.join(crossing, "__source").select(
+            "__source", "__bits", "__epochs", "__rest",
+            (F.col("__low") + F.shiftleft("__x.__bin", step)).alias("__low"),
+            (F.col("__before") + F.col("__x.__t")).alias("__before"), F.col("__x.__n").alias("__n"),
+        )
+        old, state, width = state, materialize(moved, "mixing-cuts"), step
+        discard(old)
+        if state.agg(F.max("__n")).first()[0] <= 1 and step > 0:
+            # the one document of a bin: its own place is the cut
+            single = narrow.join(state, "__source").withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("__epochs")))
+            inside = (F.col("__place") >= F.col("__low")) & (F.shiftright(F.col("__place") - F.col("__low"), step) == 0)
+            cut = single.filter(inside).groupBy("__source").agg(F.min("__place").alias("__cut"))
+            return plan.join(cut, "__source", "left")
+    return plan.join(state.select("__source", F.col("__low").alias("__cut")), "__source", "left")
+
+
 def mix(docs: DataFrame, evenness: float | None = 0.95, repeats: float | None = 4.0, budget: float | None = None) -> DataFrame:
     """docs' rows as often as the mix takes them, with mix_epoch, mix_block, mix_at, mix_weight.
 
     evenness: the target entropy as a share of the most, log(number of sources); budget: tokens, all by default."""
     docs = docs.drop(*[c for c in docs.columns if c.startswith(("__", "mix_"))])
-    keyed = _keyed(docs)
-    fine = materialize(keyed.groupBy("__source", "__fine").agg(F.sum("__tokens").alias("tokens")), "mixing-fine")
-    totals = fine.groupBy("__source").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+    narrow = materialize(_keyed(docs).select("__source", "__hash", token_count(F.col("text")).alias("tokens")), "mixing-narrow")
+    totals = narrow.groupBy("__source").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
     all_tokens = totals.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
     total, n = float(all_tokens["t"] or 0), all_tokens["n"]
     budget = total if budget is None else float(budget)
@@ -95,33 +148,14 @@ def mix(docs: DataFrame, evenness: float | None = 0.95, repeats: float | None =
     alpha = exponent(sources, budget, None if evenness is None else evenness * math.log(max(n, 1)), repeats) if n else 1.0
     z = sources.agg(F.sum(F.pow("share", F.lit(alpha))).alias("z")).first()["z"] or 1.0
     weight = F.pow("share", F.lit(alpha)) / F.lit(float(z))
-    blocks = F.least(F.lit(FINE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("tokens") / F.lit(float(BLOCK_TOKENS))))))).cast("int")
-    quota = weight * F.lit(budget)
-    # a whole number of tokens but for rounding is that number: no document is lost or epoch opened by the last bit
-    quota = F.when(F.abs(quota - F.round(quota)) <= quota * F.lit(1e-9), F.round(quota)).otherwise(quota)
-    quotas = sources.select("__source", F.col("tokens").alias("__all"), weight.alias("mix_weight"), blocks.alias("__blocks"), quota.alias("__quota"))
-    coarse = (
-        fine.join(quotas, "__source").withColumn("mix_block", F.col("__fine") % F.col("__blocks"))
-        .groupBy("__source", "mix_block", "mix_weight", "__blocks", "__quota", "__all").agg(F.sum("tokens").alias("tokens"))
-    )
-    epochs = F.greatest(F.lit(1), F.ceil(F.col("__quota") / F.col("__all"))).cast("int")
-    turns = coarse.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    order = Window.partitionBy("__source").orderBy("mix_epoch", F.xxhash64(F.lit(SEED), "mix_epoch", "mix_block"), "mix_block")
-    taken = turns.withColumn("__before", F.sum("tokens").over(order) - F.col("tokens")).filter(F.col("__before") < F.col("__quota"))
-    plan = materialize(
-        taken.select(
-            "__source", "mix_block", "__blocks", "mix_epoch", "mix_weight", (F.col("__before") / F.col("__quota")).alias("mix_at"),
-            (F.col("__quota") - F.col("__before")).alias("__room"), (F.col("__before") + F.col("tokens") > F.col("__quota")).alias("__cut"),
-        ), "mixing-plan",
-    )
-    discard(fine)
-    sizes = plan.groupBy("__source").agg(F.max("__blocks").alias("__blocks"))
-    dealt = _keyed(docs).join(sizes, "__source").withColumn("mix_block", F.col("__fine") % F.col("__blocks")).drop("__blocks")
-    plan = plan.drop("__blocks")
-    whole = dealt.join(plan.filter("NOT __cut"), ["__source", "mix_block"])
-    part = dealt.join(plan.filter("__cut"), ["__source", "mix_block"])
-    walk = Window.partitionBy("__source", "mix_block", "mix_epoch").orderBy(F.xxhash64(F.lit(SEED), "__hash", "mix_epoch"), "__hash")
-    part = part.withColumn("__upto", F.sum("__tokens").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    part = part.filter(F.col("__upto") <= F.col("__room"))
-    columns = [*docs.columns, "mix_epoch", "mix_block", "mix_at", "mix_weight"]
-    return whole.select(*columns).unionByName(part.select(*columns))
+    bits = F.least(F.lit(MOST_BLOCK_BITS), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("tokens") / F.lit(float(BLOCK_TOKENS))))).cast("int"))
+    quotas = sources.select("__source", F.col("tokens").alias("__all"), weight.alias("mix_weight"), bits.alias("__bits"), F.round(weight * F.lit(budget)).cast("long").alias("__quota"))
+    epochs = F.call_function("div", F.col("__quota"), F.col("__all"))
+    plan = quotas.withColumns({"__epochs": epochs, "__rest": F.col("__quota") - epochs * F.col("__all")})
+    plan = materialize(_cuts(narrow, materialize(plan.filter("__quota > 0"), "mixing-quotas")), "mixing-plan")
+    discard(narrow, sources)
+    dealt = _keyed(docs).join(plan, "__source").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs"))))
+    dealt = dealt.withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("mix_epoch")))
+    taken = dealt.filter((F.col("mix_epoch") < F.col("__epochs")) | (F.col("__place") < F.col("__cut")))
+    at = F.least(F.lit(1.0), (F.col("mix_epoch") + F.col("__place") / F.lit(2.0**PLACES)) * F.col("__all") / F.col("__quota"))
+    return taken.select(*docs.columns, F.col("mix_epoch").cast("int").alias("mix_epoch"), block_of(F.col("__hash"), F.col("__bits")).cast("int").alias("mix_block"), at.alias("mix_at"), "mix_weight")
