@@ -5,11 +5,11 @@ each step fits a tree of depth two to one feature's gradient histogram and adds
 table. Then the PAIRS pairs whose best cross cut still lowers the loss most get tables over two features'
 coarser bins, boosted in the same way. A score is the sum of table entries, through the logistic function.
 
-Training uses at most `sample` labelled documents, those with the smallest hash of their id (see
-toxicity.labelled for what counts as a label); the driver holds their features only.
+Training uses at most `sample` labelled documents, those with the smallest hash of their id, one row for each id (see
+toxicity.labelled); the driver holds their features only, 8 * len(FEATURES) bytes each.
 
-Defined results: null and empty texts have zero features and are scored like any others; without
-usable labels of both classes every score is the smoothed share of 1. Extra columns pass through;
+Defined results: null and empty texts have zero features and are scored like any others, very long ones as a whole; without
+usable labels of both classes every score is the smoothed share of 1; repeated rows are scored each. Extra columns pass through;
 score and predicted are replaced.
 """
 
@@ -191,8 +191,8 @@ def fit(y: np.ndarray, x: np.ndarray, rounds: int = 150, rate: float = 0.1) -> M
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r.tobytes() for i, j, buf, offsets in chunks(batch.column(1)) for r in features(j - i, buf, offsets)]
-        yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
+        rows = [r.tobytes() for i, j, buf, offsets in chunks(batch.column(2)) for r in features(j - i, buf, offsets)]
+        yield pa.record_batch([batch.column(1), pa.array(rows, pa.binary())], names=["label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", sample: int = SAMPLE) -> Model:
