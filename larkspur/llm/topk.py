@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-The stated query set meets all vectors in blocks of at most `block` queries, whose matrix is
-broadcast (block * dimension * 8 bytes, checked against BLOCK_BYTES). For each block:
+The queries are written once, then meet all vectors in blocks of at most `block` queries, whose matrix is
+broadcast (block * dimension * 8 bytes, checked against BLOCK_BYTES). A task goes through a block TILE queries at a time. For each block:
 
 1. every partition scores its vectors and sends, per query, a histogram of the scores over equal bins
    of the query's open range; only the bins down to the partition's own kth score go out, since the
@@ -13,15 +13,16 @@ broadcast (block * dimension * 8 bytes, checked against BLOCK_BYTES). For each b
 
 The driver holds two numbers per query of the block at hand, never candidates.
 
+Scores are 64-bit whole numbers; where the product of two vectors' lengths reaches 2**62 they might not be, and the search raises OverflowError.
+
 Defined results: vectors that are null or have null or non-finite components, and null ids, take no
-part. Vectors of another length than the query's have no score with it. Rows with the query's own id are no
+part. Long vectors make smaller blocks. Columns but the id and the vector are not read. Vectors of another length than the query's have no score with it. Rows with the query's own id are no
 candidates; an id in several rows queries with the smallest vector of them, and each row is a
 candidate to others. Fewer than k candidates: all. Empty table: no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import shared_dir
+from .store import discard, materialize
 
-BINS, BLOCK, BLOCK_BYTES = 512, 4096, 64 << 20
-_EXACT = 2.0**52
+BINS, BLOCK, BLOCK_BYTES, TILE = 512, 32_768, 64 << 20, 2048
+_EXACT, _MOST = 2.0**52, 2.0**62
 
 
-def _matrices(batch: pa.RecordBatch, rows: int = 8192):
+def _matrices(batch: pa.RecordBatch, rows: int = 4096):
     """(length, ids, matrix) for the batch's vectors, grouped by their length; int64 components."""
     ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     offsets, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
@@ -52,32 +53,35 @@ def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
     return (c.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64) if exact else c @ q.T
 
 
-def _histograms(block, k: int, exact: bool):
-    qid, q, lo, width = block.value
+def _tiles(n: int) -> Iterator[slice]:
+    return (slice(i, min(i + TILE, n)) for i in range(0, n, TILE))
+
 
+def _histograms(block, k: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(qid), BINS + 1), np.int64)  # the last bin: above the open range
-        base = np.arange(len(qid)) * (BINS + 1)
+        qid, q, lo, width = block.value
+        counts = np.zeros((len(qid), BINS + 1), np.int32)  # the last bin: above the open range
         for batch in batches:
             for n, ids, c in _matrices(batch):
                 if n != q.shape[1]:
                     continue
-                s = _scores(q, c, exact)
-                bins = np.clip((s - lo) // width, -1, BINS)
-                bins[ids[:, None] == qid] = -1
-                flat = (bins + base)[bins >= 0]
-                counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
-        above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts  # in higher bins
-        i, j = np.nonzero((counts > 0) & (above < k))
-        yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(counts[i, j])], names=["q", "bin", "n"])
+                for t in _tiles(len(qid)):
+                    bins = np.clip((_scores(q[t], c, exact) - lo[t]) // width[t], -1, BINS)
+                    bins[ids[:, None] == qid[t]] = -1
+                    flat = (bins + np.arange(bins.shape[1]) * (BINS + 1))[bins >= 0]
+                    counts[t] += np.bincount(flat, minlength=bins.shape[1] * (BINS + 1)).reshape(-1, BINS + 1).astype(np.int32)
+        for t in _tiles(len(qid)):
+            some = counts[t].astype(np.int64)
+            above = np.cumsum(some[:, ::-1], 1)[:, ::-1] - some  # in higher bins
+            i, j = np.nonzero((some > 0) & (above < k))
+            yield pa.record_batch([pa.array((i + t.start).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(some[i, j])], names=["q", "bin", "n"])
 
     return run
 
 
 def _winners(block, exact: bool):
-    qid, q, kth, ties = block.value
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, kth, ties = block.value
         held: dict[int, np.ndarray] = {}  # by query: the smallest ids that tie, at most as many as are wanted
 
         def out(i, ids, scores):
@@ -87,14 +91,15 @@ def _winners(block, exact: bool):
             for n, ids, c in _matrices(batch):
                 if n != q.shape[1]:
                     continue
-                s = _scores(q, c, exact)
-                own = ids[:, None] == qid
-                j, i = np.nonzero((s > kth) & ~own)
-                yield out(i, ids[j], s[j, i])
-                tied = (s == kth) & ~own
-                for i in np.flatnonzero(tied.any(0)):
-                    if ties[i]:
-                        held[i] = np.sort(np.concatenate([held.get(i, ids[:0]), ids[tied[:, i]]]))[: ties[i]]
+                for t in _tiles(len(qid)):
+                    s = _scores(q[t], c, exact)
+                    own = ids[:, None] == qid[t]
+                    j, i = np.nonzero((s > kth[t]) & ~own)
+                    yield out(i + t.start, ids[j], s[j, i])
+                    tied = (s == kth[t]) & ~own
+                    for i in np.flatnonzero(tied.any(0)):
+                        if ties[at := i + t.start]:
+                            held[at] = np.sort(np.concatenate([held.get(at, ids[:0]), ids[tied[:, i]]]))[: ties[at]]
         for i, some in held.items():
             yield out(np.full(len(some), i), some, np.full(len(some), kth[i]))
 
@@ -114,7 +119,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK) -> D
     found = stored = None
     size = F.size("__v")
     norm = F.aggregate("__v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    queries = vectors.filter(is_query).groupBy("__id").agg(F.min("__v").alias("__v"))
+    queries = materialize(vectors.filter(is_query).groupBy("__id").agg(F.min("__v").alias("__v")), "topk-queries")
     lengths = [r for r in vectors.groupBy(size.alias("n")).agg(F.max(norm).alias("norm")).collect()]
     for row in lengths:
         n, largest = row["n"], float(row["norm"] or 0) ** 0.5
@@ -135,11 +140,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK) -> D
                 found = one
             else:  # several blocks: each is written, so that the plan stays small
                 if stored is None:
-                    stored = f"{shared_dir(spark)}/larkspur/topk-{uuid.uuid4().hex}"
-                    found.write.parquet(stored)
+                    stored = materialize(found, "topk").stored_at
                 one.write.mode("append").parquet(stored)
             if part.num_rows < rows:
                 break
+    discard(queries)
     if stored:
         found = spark.read.schema(schema).parquet(stored)
     if found is None:
@@ -154,8 +159,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, block: int = BLOCK) -> D
 def _select(spark, vectors: DataFrame, qid, q, k: int, largest: float, schema: str) -> DataFrame:
     sc = spark.sparkContext
     bound = np.ceil(np.sqrt((q.astype(np.float64) ** 2).sum(1)) * largest) + 1  # Cauchy and Schwarz
+    if (bound >= _MOST).any():  # partial sums are bounded by the same product
+        raise OverflowError("scores may leave 64 bits: the vectors are too long")
     exact = bool((bound < _EXACT).all())
-    top = np.minimum(bound, 2.0**62).astype(np.int64)
+    top = bound.astype(np.int64)
     lo, hi = -top, top + 1  # the kth score lies in [lo, hi)
     above = np.zeros(len(qid), np.int64)  # scores of at least hi
     short = np.zeros(len(qid), bool)  # fewer than k candidates: all of them come out
