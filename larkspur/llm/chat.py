@@ -12,7 +12,7 @@ more memory than a short one.
 
 Defined results: turns go by (turn, role, text), nulls first; a null text is empty; a null or unknown role is
 formatted by the template's `other` turn and makes the conversation invalid; a null conv_id is a conversation like any
-other; an empty table gives no rows. Repeated rows are turns each.
+other; an empty table gives no rows. Repeated rows are turns each; a very long text is one turn. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ terms and, per bucket, 0, 1, 2 or 6 for quartiles 0 to 3 apart; it is at most MO
 1 - difference / MOST.
 
 Defined results: null counts as empty; a text of under five bytes has no triplets and all its buckets
-in quartile 0, so such texts of equal length class are alike. Equal texts have equal digests. In document order null ids come
-first and rows of one id go by text; an empty table gives no rows; the only document is its own next one.
+in quartile 0, so such texts of equal length class are alike. Equal texts have equal digests. A very long text is counted as a whole. In document order
+null ids come first and rows of one id go by a hash of the text, then the text; an empty table gives no rows; the only document is its own next one.
+Columns of docs but doc_id and text are not read.
 """
 
 from __future__ import annotations

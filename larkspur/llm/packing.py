@@ -6,11 +6,11 @@ fullest window leaves: with a gap of at most `gap` it leaves padded, else the do
 end of a partition the open windows go on to a merge, where those of up to PARTITIONS partitions fill each other up: the emptiest
 are cut to fill the fullest. One sequence of such a group stays short.
 
-Texts are read whole and each id lies in exactly one piece. Nothing is shuffled but the open windows: at most windows *
-length ids a partition. Sequence ids are unique, not consecutive.
+Texts are read whole, a very long one in one go, and each id lies in exactly one piece. Nothing is shuffled but the open windows: at most windows *
+length ids a partition, so a merge task gets at most PARTITIONS * windows * length ids (4 MB by default). Sequence ids are unique, not consecutive.
 
 Defined results: null and empty texts are the end id alone; repeated rows and ids are packed each; null ids stay null; an
-empty table gives no rows.
+empty table gives no rows; columns of docs but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .store import materialize
 from .tokens import encoder
 
-LENGTH, WINDOWS, GAP, PARTITIONS, END = 2048, 64, 32, 32, 1
+LENGTH, WINDOWS, GAP, PARTITIONS, END = 2048, 64, 32, 8, 1
 _MERGED = 1 << 62
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, __group int, __window long"
 _FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary()), ("__group", pa.int32()), ("__window", pa.int64())])
