@@ -64,10 +64,15 @@ def test_repeated_text_of_a_marked_element_stays(mark, n):
     assert got == ["\n\n".join([f"Own {i}", "Summary", *own[i]]) + "\n\nSize Large\n\nSaid by all\n\nrun\n\nPlain" for i in range(n)]
 
 
+def pages_of(htmls):
+    paths = H._Paths()
+    return paths, [H._Page(h, paths) for h in htmls]
+
+
 def test_classes_are_ordered_and_nested():
-    pages = [H._Page(f"<div><ul>{'<li>x' * n}</ul><p>{n}</div>") for n in (1, 2, 3, 2)]
+    known, pages = pages_of(f"<div><ul>{'<li>x' * n}</ul><p>{n}</div>" for n in (1, 2, 3, 2))
     taken, where = H._classes(pages)
-    paths = [[t[0].rsplit("/", 1)[-1] for t in order] for order in taken]
+    paths = [[known.tag[t[0]] for t in order] for order in taken]
     assert ["div", "ul", "p"] in paths and any(p[0] == "li" for p in paths)
 
 
@@ -84,8 +89,8 @@ def test_marked_siblings_are_taken_together(mark):
 def test_a_class_around_a_large_or_a_late_one_is_not_nested(before, many):
     # the class taken before has many tokens on a page, or is not among the first
     late = "".join(f"<div class=a{c}></div>" * (c + 2) for c in range(before))
-    pages = [H._Page(f"<body>{late}<u></u>{'<i></i>' * many}<s></s>" if i else f"<body>{late}{'<i></i>' * many}") for i in range(12)]
-    ends = [[t[0].rsplit("/", 1)[-1] for t in order] for order in H._classes(pages)[0]]
+    known, pages = pages_of(f"<body>{late}<u></u>{'<i></i>' * many}<s></s>" if i else f"<body>{late}{'<i></i>' * many}" for i in range(12))
+    ends = [[known.tag[t[0]] for t in order] for order in H._classes(pages)[0]]
     assert ["u", "s"] not in ends and ["i"] in ends
 
 
@@ -104,3 +109,67 @@ def test_table(frame):
     want = sorted((i if i is not None else -1, "" if not h else f"Text {h.split('Text ')[1].split('<')[0]}") for i, _, h in rows)
     assert [(a, b) for a, b, _ in got] == want and all(n == len(t) for _, t, n in got)
     assert H.extract(frame([], SCHEMA)).collect() == []
+
+
+WRAPPED = {
+    "form": '<body><form id="aspnetForm"><div class=top>Our shop</div><article><h1>{t}</h1>{p}</article></form>',
+    "no sidebar": '<body><div class="layout no-sidebar"><nav><a href=/>Home</a></nav><article><h1>{t}</h1>{p}</article></div><footer>{o}</footer>',
+    "has menu": '<body><div id="wrap" class="has-menu"><ul class=menu><li>{o}</ul><main><h1>{t}</h1>{p}</main></div>',
+    "form, no marks": '<body><form id="aspnetForm"><div class=a><h1>{t}</h1>{p}</div><div class=footer>{o}</div></form>',
+    "name, no marks": '<body><div class="page has-menu widget"><h1>{t}</h1>{p}</div><div class=footer>{o}</div>',
+    "comments are articles": "<body><div class=post><h1>{t}</h1>{p}</div><div id=comments><article class=comment><p>{o}</p></article></div>",
+    "teasers are articles": "<body><div class=q><h1>{t}</h1>{p}</div><aside><article><p>{o}</p></article></aside>",
+}
+
+
+@pytest.mark.parametrize("layout", WRAPPED)
+@pytest.mark.parametrize("n", [1, 2, 12])
+def test_a_wrapper_does_not_take_the_article_with_it(layout, n):
+    rng = random.Random(n)
+    words = lambda k: " ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 999)}" for _ in range(k))
+    data = [(words(4), [words(rng.randint(5, 60)) for _ in range(rng.randint(1, 6))]) for _ in range(n)]
+    got = H.extract_group([WRAPPED[layout].format(t=t, p="".join(f"<p>{x}</p>" for x in ps), o=words(8)) for t, ps in data])
+    assert got == ["\n\n".join([t, *ps]) for t, ps in data]
+
+
+def test_without_the_classes_unmarked_pages_keep_their_template():
+    """The classes, not names, tell a host's boilerplate: the same pages without them keep it."""
+    rng = random.Random(8)
+    words = lambda k: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k))
+    pages, want = [], []
+    for _ in range(12):
+        t, ps = words(5), [words(rng.randint(20, 50)) for _ in range(3)]
+        pages.append(f"<body><div class=x><h1>Our shop</h1><p>Welcome, dear reader, to all of our words</p><div class=y><h2>{t}</h2>{''.join(f'<p>{p}</p>' for p in ps)}<p>Call us, we answer at once</p></div><div class=z>All rights kept</div></div>")
+        want.append("\n\n".join([t, *ps]))
+    assert H.extract_group(pages) == want
+    for got, w in zip(H.extract_group(pages, classes=False), want, strict=True):
+        assert got != w and "Call us" in got
+    assert H.extract_group(pages[:2]) == want[:2]  # no least number of pages but two
+    assert "Call us" in H.extract_group(pages[:1] * 5)[0]  # copies of one page have no template
+
+
+def test_the_template_chooses_between_marks():
+    """An article that is no more than a teaser on every page does not win over what fills the slots."""
+    pages = [f"<body><div class=l><article>Teaser {i}</article></div><div class=r><p>{' '.join(f'w{i}x{j}' for j in range(50))}</p></div>" for i in range(6)]
+    assert all(t.startswith(f"w{i}x0 ") for i, t in enumerate(H.extract_group(pages)))
+
+
+def test_deep_and_wide_pages():
+    deep = "<article>" + "".join(f"<div class=c{i}>t{i} " for i in range(3000))
+    assert one(deep).split() == [f"t{i}" for i in range(3000)]
+    assert one("<article>" + "<b>x</i>" * 5000).count("x") == 5000
+    name = "n" * 5000
+    assert H.extract_group([f"<div class='{name}{k}'><p>{'text ' * 9}{i}{k}</p></div>" * 2 for i in range(4) for k in "ab"])[0].startswith("text")
+
+
+@pytest.mark.parametrize("n", [2, 9, 40])
+def test_pages_of_any_number_against_their_own_texts(n):
+    """What generated pages were made of is what comes out, at every group size."""
+    rng = random.Random(n)
+    words = lambda k: " ".join(f"{rng.choice('hijk')}{rng.randint(0, 999)}" for _ in range(k))
+    pages, want = [], []
+    for _ in range(n):
+        t, ps = words(3), [words(rng.randint(1, 90)) for _ in range(rng.randint(1, 9))]
+        pages.append(f"<html><head><title>{t}</title></head><body><nav><ul><li><a href=/>{words(2)}</a></li></ul></nav><div class='ad'>{words(9)}</div><article><h1>{t}</h1>{''.join(f'<p>{p}</p>' for p in ps)}</article><footer>&copy; {words(20)}</footer></body></html>")
+        want.append("\n\n".join([t, *ps]))
+    assert H.extract_group(pages) == want
