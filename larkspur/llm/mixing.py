@@ -110,15 +110,16 @@ def _cuts(narrow: DataFrame, plan: DataFrame) -> DataFrame:
     width = PLACES
     while width > 0 and not state.isEmpty():
         step = max(0, width - (BINS.bit_length() - 1))
-        at = narrow.join(state, "__source").withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("__epochs")))
+        now = state.drop("__n")
+        at = narrow.join(now, "__source").withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("__epochs")))
         # both sides are at most 2**63 - 1: the difference of places does not overflow
         inside = (F.col("__place") >= F.col("__low")) & (F.shiftright(F.col("__place") - F.col("__low"), width) == 0)
         bins = at.filter(inside).groupBy("__source", F.shiftright(F.col("__place") - F.col("__low"), step).alias("__bin")).agg(F.sum("tokens").alias("__t"), F.count(F.lit(1)).alias("__n"))
         up = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BINS rows a source
-        upto = bins.withColumn("__upto", F.sum("__t").over(up)).join(state, "__source")
+        upto = bins.withColumn("__upto", F.sum("__t").over(up)).join(now, "__source")
         crossing = upto.filter(F.col("__before") + F.col("__upto") > F.col("__rest")).groupBy("__source").agg(F.min_by(F.struct("__bin", "__n", (F.col("__upto") - F.col("__t")).alias("__t")), "__bin").alias("__x"))
         # a bin crosses in every pass, for an epoch has more tokens than the rest
-        moved = state.join(crossing, "__source").select(
+        moved = now.join(crossing, "__source").select(
             "__source", "__bits", "__epochs", "__rest",
             (F.col("__low") + F.shiftleft("__x.__bin", step)).alias("__low"),
             (F.col("__before") + F.col("__x.__t")).alias("__before"), F.col("__x.__n").alias("__n"),

@@ -1,5 +1,8 @@
 import math
-from collections import Counter
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import mixing
 
@@ -69,3 +72,50 @@ def test_even_sources_keep_every_document_once(frame):
     rows = [(i, "w " * (20 + i * i % 9), f"s{i}") for i in range(200)] + [(1000 + i, "", f"s{i}") for i in range(200)]
     got = mixing.mix(frame(rows, "doc_id long, text string, source string")).select("doc_id", "mix_epoch").collect()
     assert sorted((r["doc_id"], r["mix_epoch"]) for r in got) == sorted((d, 0) for d, _, _ in rows)
+
+
+@pytest.mark.parametrize("bins", [8, 1 << 12])
+def test_against_brute_force(frame, monkeypatch, bins):
+    """Whole epochs, then every document before the first that the rest of the quota has no room for."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 64)
+    monkeypatch.setattr(mixing, "BINS", bins)
+    rows = [(i if i % 11 else None, "w " * (i * i % 23), f"s{min(i % 7, i % 3)}" if i % 13 else None) for i in range(400)] + [(1000, "same row again", "s0")] * 30
+    docs = frame(rows, SCHEMA).repartition(5)
+    got = mixing.mix(docs, evenness=0.97, repeats=3.0, budget=5000).collect()
+    weight = {r["source"]: r["mix_weight"] for r in got}
+    own = defaultdict(list)
+    for d, t, s in rows:
+        own[s].append((d, t))
+    bits = {s: math.ceil(math.log2(max(1, sum(len(t.split()) for _, t in x) / 64))) for s, x in own.items()}
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h")).collect()
+    for s, w in weight.items():
+        tokens = sum(len(t.split()) for _, t in own[s])
+        epochs, rest = divmod(round(w * 5000), tokens)
+        want = Counter({(d, t): epochs * n for (d, t), n in Counter(own[s]).items()})
+        one = docs.sparkSession.createDataFrame([(r["h"], r["doc_id"], r["text"]) for r in hashed if r["source"] == s], "h long, doc_id long, text string")
+        place = mixing.place_of(F.col("h"), F.lit(bits[s]), F.lit(epochs).cast("long"))
+        last = sorted((r[0], r[1] or -1, r[2], r[1]) for r in one.select(place, "doc_id", "text").collect())
+        assert all(0 <= r[0] < 2**63 for r in last)
+        upto, cut = 0, None
+        for p, _, t, _ in last:
+            upto += len(t.split())
+            if upto > rest:
+                cut = p
+                break
+        for p, _, t, d in last:
+            if rest and p < cut:
+                want[d, t] += 1
+        assert Counter((r["doc_id"], r["text"]) for r in got if r["source"] == s) == +want
+        assert all(0 <= r["mix_at"] <= 1 and 0 <= r["mix_block"] < 1 << bits[s] for r in got if r["source"] == s)
+
+
+def test_blocks_are_permuted(spark):
+    rows = spark.range(64).select(mixing.place_of(F.col("id"), F.lit(6), F.lit(3).cast("long")).alias("p")).collect()
+    assert sorted(r["p"] >> 57 for r in rows) == list(range(64)) and [r["p"] >> 57 for r in rows] != list(range(64))
+
+
+@pytest.mark.parametrize(("evenness", "repeats"), [(None, 1.0), (0.5, 1.0), (None, 1.0000001)])
+def test_a_mix_at_the_sources_own_shares_returns_every_row(frame, evenness, repeats):
+    rows = [(i, "w " * (1 + i * i % 97), f"s{i % 5 * (i % 3)}") for i in range(400)]
+    got = mixing.mix(frame(rows, SCHEMA), evenness, repeats).collect()
+    assert sorted((r["doc_id"], r["mix_epoch"]) for r in got) == [(i, 0) for i in range(400)]
