@@ -15,7 +15,6 @@ score and predicted are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import discard
 from .text import SPACES, chunks, joined, mix, words
 from .toxicity import labelled
 
@@ -189,15 +189,15 @@ def fit(y: np.ndarray, x: np.ndarray, rounds: int = 150, rate: float = 0.1) -> M
     return model
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [r.tobytes() for i, j, buf, offsets in chunks(batch.column(2)) for r in features(j - i, buf, offsets)]
-        yield pa.record_batch([batch.column(1), pa.array(rows, pa.binary())], names=["label", "x"])
+def _feature_rows(texts: pa.Array) -> list[bytes]:
+    return [r.tobytes() for i, j, buf, offsets in chunks(texts) for r in features(j - i, buf, offsets)]
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = labelled(docs, labels, label, use, sample).mapInArrow(_feature_rows, "label int, x binary").toArrow()
-    found = sorted(zip(rows.column("x").to_pylist(), rows.column("label").to_pylist(), strict=True))
+    rows = labelled(docs, labels, label, use, sample, _feature_rows)
+    read = rows.select("features", "label").toArrow()
+    discard(rows)
+    found = sorted(zip(read.column("features").to_pylist(), read.column("label").to_pylist(), strict=True))
     x = np.frombuffer(b"".join(v for v, _ in found), float).reshape(len(found), len(FEATURES))
     return fit(np.array([y for _, y in found], float), x)
 

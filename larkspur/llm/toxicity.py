@@ -17,7 +17,7 @@ every score is the smoothed share of 1. Extra columns pass through; score and pr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,20 +138,20 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], epochs: int = 25, rate: floa
     return Machine(float(bias), slot, w, v)
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for i, j, buf, offsets in chunks(batch.column(2)):
-            doc, bucket = terms(buf, offsets)
-            pairs = np.unique(doc * SPACE + bucket)
-            at = np.searchsorted(pairs, np.arange(j - i + 1) * SPACE)
-            out += [(pairs[a:b] % SPACE).astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["rank", "label", "terms"])
+def _term_rows(texts: pa.Array) -> list[bytes]:
+    """Each text's distinct buckets."""
+    out = []
+    for i, j, buf, offsets in chunks(texts):
+        doc, bucket = terms(buf, offsets)
+        pairs = np.unique(doc * SPACE + bucket)
+        at = np.searchsorted(pairs, np.arange(j - i + 1) * SPACE)
+        out += [(pairs[a:b] % SPACE).astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample: int) -> DataFrame:
-    """rank, label int, text: the sample to train on, at most `sample` rows: one for each chosen id (of rows that repeat an id, that with the smallest
-    hash of its text), ranked by a hash of the id. use: which doc_ids may teach."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample: int, features: Callable[[pa.Array], list[bytes]]) -> DataFrame:
+    """rank long, label int, features binary: the sample to train on, a written table of at most `sample` rows. One row for each chosen id: of rows
+    that repeat an id, that with the smallest hash of its text; ranked by a hash of the id. use: which doc_ids may teach."""
     one = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & use)
         .groupBy("doc_id").agg(F.min(label).alias("__label"), F.max(label).alias("__other"))
@@ -159,23 +159,43 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, sample
     )
     rank = F.xxhash64(F.lit(17), "doc_id")
     # the bound comes first: only chosen ids meet the texts
-    some = one.select("doc_id", "__label", rank.alias("rank")).orderBy("rank", "doc_id").limit(sample)
+    some = one.select("doc_id", F.col("__label").cast("int").alias("label"), rank.alias("rank")).orderBy("rank", "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most sample rows of three numbers
-    each = texts.groupBy("doc_id", "rank", "__label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return each.select("rank", F.col("__label").cast("int").alias("label"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, least = TaskContext.get().partitionId(), {}  # by rank: the smallest hash so far; a larger one cannot be chosen
+        for batch in batches:
+            keep = []
+            for i, (r, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if r not in least or h < least[r]:
+                    least[r] = h
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            found = [batch.column(i).take(at) for i in range(3)]
+            rows = features(batch.column(3).take(at))
+            yield pa.record_batch([*found, pa.array([part] * len(keep), pa.int64()), pa.array(rows, pa.binary())], names=["rank", "label", "h", "part", "features"])
+
+    seen = materialize(texts.select("rank", "label", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "rank long, label int, h long, part long, features binary"), "labelled")
+    best = seen.groupBy("rank").agg(F.min(F.struct("h", "part")).alias("best"))
+    chosen = seen.join(F.broadcast(best), "rank").filter(F.struct("h", "part") == F.col("best"))  # best: at most sample rows of three numbers
+    out = materialize(chosen.select("rank", "label", "features"), "sample")
+    discard(seen)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", sample: int = SAMPLE, most: int = MOST_TERMS) -> Machine:
     """The sample's documents, by rank, that have `most` distinct terms together; the driver reads no more than these."""
-    rows = materialize(labelled(docs, labels, label, use, sample).mapInArrow(_term_rows, "rank long, label int, terms binary"), "terms")
-    sizes = rows.select("rank", (F.octet_length("terms") / 4).cast("long").alias("n")).toArrow()  # two numbers a document of the sample
+    rows = labelled(docs, labels, label, use, sample, _term_rows)
+    sizes = rows.select("rank", (F.octet_length("features") / 4).cast("long").alias("n")).toArrow()  # two numbers a document of the sample
     rank, n = sizes.column("rank").to_numpy(), sizes.column("n").to_numpy()
     order = np.argsort(rank, kind="stable")
     fits = order[np.cumsum(n[order]) <= most]
-    chosen = rows if len(fits) == len(order) else rows.filter(F.col("rank") <= F.lit(int(rank[fits[-1]]) if len(fits) else -(1 << 63)))
-    read = chosen.select("terms", "label").toArrow()
+    chosen = rows if len(fits) == len(order) else rows.filter(F.col("rank") <= F.lit(int(rank[fits[-1]]))) if len(fits) else rows.limit(0)
+    read = chosen.select("features", "label").toArrow()
     discard(rows)
-    found = sorted(zip(read.column("terms").to_pylist(), read.column("label").to_pylist(), strict=True))
+    found = sorted(zip(read.column("features").to_pylist(), read.column("label").to_pylist(), strict=True))
     del read
     return fit(np.array([y for _, y in found], float), [np.frombuffer(t, np.int32) for t, _ in found])
 

@@ -68,3 +68,58 @@ def test_words_are_those_of_a_plain_split():
         w = words(buf, offsets, SPACES)
         found += [(i + int(d), buf[a:b].tobytes().decode()) for d, a, b in zip(w.doc, w.start, w.end, strict=True)]
     assert found == [(i, x) for i, t in enumerate(texts) for x in (t or "").split()]
+
+
+def _rows_of(texts):
+    out = []
+    for _, j, buf, offsets in chunks(pa.array(texts), 1 << 30):
+        doc, bucket = toxicity.terms(buf, offsets)
+        out += [np.unique(bucket[doc == i]).astype(np.int32) for i in range(j)]
+    return out
+
+
+def test_a_pair_of_words_that_tell_nothing_alone():
+    """One label in twenty; each word stands in 40 texts, 8 of which are the same and toxic: z of about 4 alone is not reached, the pair's is large."""
+    rng = np.random.default_rng(6)
+    texts, labels = [], []
+    for i in range(1000):
+        extra = ["alpha", "omega"] if i < 8 else ["alpha"] if i < 70 else ["omega"] if i < 132 else []
+        texts.append(" ".join(rng.permutation([f"v{x}" for x in rng.integers(0, 400, 5)] + extra)))
+        labels.append(float(i < 8 or i >= 960))
+    alone, n = _rows_of(texts), np.array(labels)
+    share = (n.sum() + 1) / (len(n) + 2)
+    m = toxicity.fit(n, alone)
+    (word,) = [r for r in _rows_of(["alpha"])]
+    have = np.array([np.isin(r, word).sum() == len(word) for r in alone])
+    assert abs(n[have].sum() - have.sum() * share) / np.sqrt(have.sum() * share * (1 - share)) < 4
+    assert (m.slot[word] >= 0).any()
+
+    def score(t):
+        (_, j, buf, offsets), = chunks(pa.array([t]))
+        return m.score(j, *toxicity.terms(buf, offsets))[0]
+
+    assert score("v1 alpha v2 omega v3") > 0.5 > 0.2 > max(score("v1 alpha v2 v5 v3"), score("v1 v9 v2 omega v3"))
+
+
+def test_an_id_that_holds_a_third_of_all_rows_teaches_once(frame, spark):
+    rows = [(i, f"text of {i}") for i in range(40)] + [(7, f"variant {i} of seven") for i in range(20)] + [(7, "the same again")] * 300
+    docs = frame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    want = {r["doc_id"]: r["t"] for r in hashed.groupBy("doc_id").agg(F.min_by("text", "h").alias("t")).collect()}
+    for sample in (11, 40):
+        got = toxicity.labelled(docs, labels, "toxic", F.lit(True), sample, lambda texts: [t.encode() for t in texts.to_pylist()]).collect()
+        assert len(got) == sample and {bytes(r["features"]).decode() for r in got} <= set(want.values())
+        assert sorted(r["rank"] for r in got) == sorted({r["rank"] for r in got})
+    whole = {bytes(r["features"]).decode() for r in got}
+    assert whole == set(want.values())
+
+
+def test_the_bound_on_terms_takes_the_first_documents_by_rank(frame, spark, monkeypatch):
+    docs = frame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda y, rows: seen.append((len(y), sum(map(len, rows)))))
+    for most in (10**6, 900, 10):
+        toxicity.train(docs, labels, F.lit(True), most=most)
+    assert seen[0][0] == 30 and 0 < seen[1][0] < 30 and seen[1][1] <= 900 and seen[2] == (0, 0)
