@@ -30,6 +30,7 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_at", "mix_weight")
@@ -57,6 +58,46 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = doc_id) AS component_id FROM s
+"""
+
+OP6_SQL = r"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS no, count(*) OVER () AS n FROM documents),
+f AS (SELECT a.no, a.doc_id, a.t, b.no AS follow, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS edited
+      FROM o a JOIN o b ON b.no = a.no % a.n + 1),
+u AS (SELECT no, 0 AS edit, regexp_extract_all(hex(encode(t)), '..') AS x FROM f UNION ALL SELECT no, 1, regexp_extract_all(hex(encode(edited)), '..') FROM f),
+b AS (SELECT no, edit, len(x) AS size, list_transform(x, lambda v: ('0x' || v)::UBIGINT) AS x FROM u),
+w AS (SELECT no, edit, unnest(x) AS v, unnest(x[2:]) AS w, unnest(x[3:]) AS x, unnest(x[4:]) AS y, unnest(x[5:]) AS z FROM b WHERE len(x) > 4),
+h AS (SELECT no, edit, unnest([v + w * 256 + x * 65536, v + w * 256 + y * 65536 + 16777216, v + x * 256 + y * 65536 + 33554432, v + w * 256 + z * 65536 + 50331648,
+                               v + x * 256 + z * 65536 + 67108864, v + y * 256 + z * 65536 + 83886080]) * 2654435761 % 4294967296 AS h FROM w WHERE z IS NOT NULL),
+c AS (SELECT no, edit, ((xor(h, h >> 15) * 2246822519 % 4294967296) >> 24)::INTEGER AS bucket, count(*) AS c FROM h GROUP BY ALL),
+l AS (SELECT b.no, b.edit, any_value(b.size) AS size, list(coalesce(c.c, 0) ORDER BY g.bucket) AS c
+      FROM b CROSS JOIN (SELECT unnest(range(256))::INTEGER AS bucket) g LEFT JOIN c ON c.no = b.no AND c.edit = b.edit AND c.bucket = g.bucket GROUP BY b.no, b.edit),
+q AS (SELECT *, list_sort(c)[64] AS q1, list_sort(c)[128] AS q2, list_sort(c)[192] AS q3 FROM l),
+d AS (SELECT no, edit, least(255, round(8 * log2(size + 1)))::INTEGER AS len, (q1 * 15 // greatest(q3, 1))::INTEGER AS r1, (q2 * 15 // greatest(q3, 1))::INTEGER AS r2,
+             list_transform(c, lambda v: (v > q1)::INTEGER + (v > q2)::INTEGER + (v > q3)::INTEGER) AS l FROM q),
+p AS (SELECT *, lower(format('{:02x}{:x}{:x}', len, r1, r2) || array_to_string(list_transform(range(1, 256, 4),
+             lambda i: format('{:02x}', l[i] * 64 + l[i + 1] * 16 + l[i + 2] * 4 + l[i + 3])), '')) AS digest FROM d),
+m AS (SELECT a.no, a.edit, b.no AS bt, b.edit AS bedit, 1 - (least(48, abs(a.len - b.len)) + abs(a.r1 - b.r1) + abs(a.r2 - b.r2)
+             + list_sum(list_transform(range(1, 257), lambda i: [0, 1, 2, 6][abs(a.l[i] - b.l[i]) + 1]))) / 1614.0::DOUBLE AS near
+      FROM f JOIN p a ON a.no = f.no AND a.edit = 0 JOIN p b ON b.no = f.no AND b.edit = 1 OR b.no = f.follow AND b.edit = 0)
+SELECT f.doc_id, length(f.t) AS n_chars, sha256(f.edited) AS edited_sha256, a.digest AS fingerprint, b.digest AS edited_fingerprint,
+       e.near AS near_edited, x.near AS near_next
+FROM f JOIN p a ON a.no = f.no AND a.edit = 0 JOIN p b ON b.no = f.no AND b.edit = 1
+JOIN m e ON e.no = f.no AND e.bt = f.no AND e.bedit = 1 JOIN m x ON x.no = f.no AND x.bt = f.follow AND x.bedit = 0
+"""
+
+
 OP7_RULES = [
     url_rules.prefix_rule("allow", "org", "/"),
     url_rules.prefix_rule("block", "example.org", "/es/"),
@@ -142,4 +183,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_chat": _op9_sql()}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op5_jaccard": OP5_SQL, "op6_fingerprint": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_chat": _op9_sql()}

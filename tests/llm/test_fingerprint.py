@@ -1,6 +1,7 @@
 import hashlib
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from larkspur.llm import fingerprint as P
 
@@ -33,22 +34,20 @@ def test_digests():
 
 
 def test_walk_against_brute_force(frame):
-    rows = [(i * 7 % 101, " ".join(f"w{(i * j) % 97}" for j in range(i))) for i in range(60)] + [(200, None), (201, ""), (150, "é" * 9), (150, "z"), (150, "z")]
-    ordered = sorted(rows, key=lambda r: r[0])
-    got = {}
-    for r in P.with_next(frame(rows, "doc_id long, text string").repartition(5)).collect():
-        got.setdefault(r["doc_id"], []).append(r)
-    assert sum(map(len, got.values())) == len(rows)
+    """Every row: in order of the id (null first), of rows that share an id by a hash of the text; after the last comes the first."""
+    rows = [(i * 7 % 101, " ".join(f"w{(i * j) % 97}" for j in range(i))) for i in range(60)] + [(200, None), (201, ""), (150, "é" * 9), (150, "z"), (150, "z"), (None, "no id")]
+    df = frame(rows, "doc_id long, text string")
+    hashed = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r]))
+    want = []
     for (d, t), (_, nxt) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
         t, nxt = t or "", nxt or ""
-        if d == 150 or len(got[d]) > 1 or ordered[ordered.index((d, t)) - 1][0] == 150 if (d, t) in ordered else False:
-            continue
-        if sum(x[0] == d for x in rows) == 1 and d != 98 and (ordered[(ordered.index((d, t if t or (d, "") in ordered else None)) + 1) % len(ordered)][0] != 150):
-            edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-            r = got[d][0]
-            own, new, after = P.digests(pa.array([t, edited, nxt]))
-            assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own.tobytes().hex(), new.tobytes().hex())
-            assert r["near_edited"] == P.likeness(own[None], new[None])[0] and r["near_next"] == P.likeness(own[None], after[None])[0]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, new, after = P.digests(pa.array([t, edited, nxt]))
+        want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), own.tobytes().hex(), new.tobytes().hex(), float(P.likeness(own[None], new[None])[0]), float(P.likeness(own[None], after[None])[0])))
+    got = P.with_next(df.repartition(5)).collect()
+    columns = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert sorted((str(r["doc_id"]), *(r[c] for c in columns)) for r in got) == sorted(want)
 
 
 def test_edges(frame):

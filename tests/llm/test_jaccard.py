@@ -82,6 +82,42 @@ def test_smallest_sets_that_link(frame, k, num, words):
     assert run(frame, rows, k, num) == want
 
 
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_every_size_up_to_forty_against_brute_force(frame, k, num):
+    """Pairs at the threshold: a set and the smallest it can lose (a subset), and one with as many shingles swapped as still link, and one more."""
+    rows, rng = [], random.Random(num)
+    for n in range(1, 41):
+        for trial in range(4):
+            w = [f"n{n}t{trial}w{j}" for j in range(n + k - 1)]
+            texts = [w]
+            lost = max((d for d in range(n) if 100 * (n - d) >= num * n), default=0)
+            texts.append(w[: len(w) - lost])  # the smallest subset that links
+            texts.append(w[: len(w) - lost - 1])  # one shingle less does not, with the first
+            more = max(d for d in range(n + 1) if 100 * n >= num * (n + d))
+            texts.append([*w, *[f"m{n}t{trial}w{j}" for j in range(more)]])
+            at = rng.randrange(len(w))
+            texts.append([*w[:at], "swap", *w[at + 1 :]])  # up to k shingles swapped
+            texts.append([*w[:-1], "swap"])  # one swapped
+            for t in texts:
+                rows.append((len(rows) * 7 % 100_003, " ".join(t)))
+    assert run(frame, rows, k, num) == brute(rows, k, num, 100)
+
+
+def test_rows_that_share_an_id_meet_by_their_texts(frame):
+    rows = [(1, "one two three four five six"), (1, "q r s t u v w"), (2, "one two three four five six"), (3, "q r s t u v w"), (3, "q r s t u v w")] + [(9, f"text number {i} of this very id") for i in range(300)]
+    assert run(frame, rows) == brute(rows, 4, 85, 100)
+
+
+def test_one_of_each_component_stays(frame):
+    text = "a b c d e f g h"
+    rows = [(5, text), (3, text + " i"), (3, text + " i"), (3, "other words that are alone here"), (None, text), (None, "no id but a text of its own"), (8, None), (8, ""), (8, None), (7, "Other  words that\nare alone here"), (4, "z"), (4, "z"), (6, "y " * 60_000)]
+    got = jaccard.one_of_each(frame(rows, "doc_id long, text string"))
+    assert got.columns[:2] == ["doc_id", "text"] and {"score", "key", "node", "label", "n"} <= set(got.columns)
+    want = [(3, text + " i"), (3, "other words that are alone here"), (None, "no id but a text of its own"), (8, None), (8, ""), (8, None), (4, "z"), (6, "y " * 60_000)]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(a), str(b)) for a, b in want)
+    assert jaccard.one_of_each(frame([], "doc_id long, text string")).collect() == []
+
+
 def test_large_groups_are_cut_into_blocks(frame, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rows = corpus(7, 120)

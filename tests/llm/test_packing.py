@@ -1,7 +1,9 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larkspur.llm import packing
@@ -53,6 +55,85 @@ def test_packer_is_lossless_and_tight(windows):
         assert whole == ids
 
 
+def plain_packing(docs, length, windows, gap):
+    """The placement again, without indexes: lists of windows, each a list of (doc, start, length)."""
+    opened, done = [], []
+    room = lambda w: length - sum(n for _, _, n in w)
+    for doc, total in docs:
+        at = 0
+        while total - at >= length:
+            done.append([(doc, at, length)])
+            at += length
+        while at < total:
+            fits = [w for w in opened if room(w) >= total - at]
+            if fits:
+                w = min(fits, key=room)
+                w.append((doc, at, total - at))
+                at = total
+                if room(w) == 0:
+                    opened.remove(w)
+                    done.append(w)
+            elif len(opened) < windows:
+                opened.append([(doc, at, total - at)])
+                at = total
+            else:
+                w = min(opened, key=room)
+                opened.remove(w)
+                if room(w) > gap:
+                    n = room(w)
+                    w.append((doc, at, n))
+                    at += n
+                done.append(w)
+    return done, opened
+
+
+@pytest.mark.parametrize(("windows", "gap"), [(1, 0), (4, 4), (16, 8)])
+def test_packer_against_brute_force(windows, gap):
+    rng = random.Random(windows)
+    docs = [(i, rng.choice([1, 2, 30, 63, 64, 65, 100, 200])) for i in range(300)]
+    p, got = packing.Packer(64, windows, gap), []
+    for i, n in docs:
+        got += p.place(i, bytes(4 * n))
+    as_rows = lambda ws: [[(d, at, len(ids) // 4) for d, at, ids, _ in w] for w in ws]
+    done, opened = plain_packing(docs, 64, windows, gap)
+    assert as_rows(got) == done
+    # of windows with the same room, which one is taken makes no difference to what fits
+    assert sorted(as_rows([w.pieces for _, _, w in p.open])) == sorted(opened)
+
+
+def test_merge_leaves_one_short_sequence_a_group():
+    rng = random.Random(5)
+    rows, docs = [], {}
+    for w in range(40):
+        offset = 0
+        for _ in range(rng.randint(1, 3)):
+            ids = rng.randbytes(4 * rng.randint(1, 30))
+            docs[len(docs)] = ids
+            rows.append((len(docs) - 1, 0, len(ids) // 4, 0, len(ids) // 4, 0, offset, ids, 3, w))
+            offset += len(ids) // 4
+    out = packing._merge(100, True)(pa.Table.from_batches([packing._record(rows)])).to_pylist()
+    used = Counter()
+    for r in out:
+        used[r["sequence_id"]] += r["length"]
+    assert sum(n < 100 for n in used.values()) <= 1 and max(used.values()) <= 100
+    for d, ids in docs.items():
+        parts = sorted((r["start"], bytes(r["ids"])) for r in out if r["doc_id"] == d)
+        assert b"".join(x for _, x in parts) == ids and [a for a, _ in parts] == [sum(len(x) // 4 for _, x in parts[:i]) for i in range(len(parts))]
+
+
+def test_a_vocabulary_whose_twin_differs_goes_without_it(tmp_path):
+    import shutil
+
+    shutil.copy(tokenizer(), tmp_path / "v.json")
+    lines = open(tokenizer().removesuffix(".json") + ".tiktoken", "rb").read().splitlines()
+    swapped = [b" ".join([a.split()[0], b.split()[1]]) for a, b in zip(lines, [*lines[1:], lines[0]], strict=True)]
+    (tmp_path / "v.tiktoken").write_bytes(b"\n".join(swapped))
+    e = Encoder(str(tmp_path / "v.json"))
+    assert e.fast is None and e.encode("Hello, world") == Encoder(tokenizer()).encode("Hello, world")
+    shutil.copy(tokenizer().removesuffix(".json") + ".tiktoken", tmp_path / "v.tiktoken")
+    assert Encoder(str(tmp_path / "v.json")).fast is not None
+
+
 def test_table(frame):
     rows = [(i, "some words here " * (i % 40)) for i in range(120)] + [(500, None), (501, ""), (None, "null id"), (7, "again"), (7, "again"), (600, "long text " * 30_000)]
     got = packing.pack(frame(rows, "doc_id long, text string").repartition(4), tokenizer(), 256, 8, with_ids=True).collect()

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import topk
@@ -39,3 +40,16 @@ def test_few_candidates_and_large_values(frame):
     assert run(frame, rows) == brute(rows, lambda i: i % 5 == 0, 5)
     assert run(frame, [(0, [1])]) == []
     assert run(frame, []) == []
+
+
+def test_scores_that_may_leave_64_bits_are_an_error(frame):
+    with pytest.raises(OverflowError):
+        run(frame, [(0, [2**40, 2**40]), (5, [2**40, 1]), (6, [2, 0])])
+
+
+def test_tiles(frame, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-3, 4, 4).tolist()) for i in range(120)]
+    assert run(frame, rows) == brute(rows, lambda i: i % 5 == 0, 5)
+    assert run(frame, rows, block=10) == brute(rows, lambda i: i % 5 == 0, 5)
