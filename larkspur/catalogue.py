@@ -55,8 +55,10 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "filter_expression": ("SELECT p_partkey FROM part WHERE p_size * 2 - 1 > 90", None),
     "filter_value_as_condition": ("SELECT n_nationkey FROM nation WHERE n_regionkey", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 0"),
     # order and limits
-    "sort_asc_desc": ("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC", "SELECT p_partkey, p_brand, p_size FROM part"),
-    "sort_hidden_key": ("SELECT c_name FROM customer ORDER BY c_acctbal", "SELECT c_name FROM customer"),
+    # a cut in the middle makes the order count, not only the content
+    "sort_asc_desc": ("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 120 OFFSET 40", None),
+    "sort_hidden_key": ("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 90 OFFSET 30", None),
+    "sort_whole": ("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal) AS at FROM customer ORDER BY c_mktsegment DESC, c_acctbal", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal) AS at FROM customer"),
     "sort_rowid_desc": ("SELECT c_custkey FROM customer ORDER BY rowid DESC LIMIT 5", "SELECT c_custkey FROM customer ORDER BY c_custkey DESC LIMIT 5"),
     "sort_nulls_topn": ("SELECT c_custkey, c_acctbal FROM ncust ORDER BY c_acctbal, c_custkey LIMIT 200", f"SELECT c_custkey, c_acctbal FROM {NCUST} ORDER BY c_acctbal ASC NULLS FIRST, c_custkey LIMIT 200"),
     "topn_desc": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10"),
@@ -78,13 +80,16 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "arith_text_operand": ("SELECT n_nationkey, '12abc' + n_nationkey AS s FROM nation", "SELECT n_nationkey, CAST(12 + n_nationkey AS BIGINT) AS s FROM nation"),
     "concat": ("SELECT n_nationkey, n_name || '-' || n_regionkey AS s FROM nation", None),
     "concat_null": ("SELECT c_custkey, c_mktsegment || '!' AS s FROM ncust", f"SELECT c_custkey, c_mktsegment || '!' AS s FROM {NCUST}"),
-    "concat_precedence": ("SELECT n_nationkey, 1 + 2 || 3 AS s FROM nation", "SELECT n_nationkey, CAST(24 AS BIGINT) AS s FROM nation"),
+    "concat_precedence": ("SELECT n_nationkey, CAST(1 + 2 || n_regionkey AS INTEGER) AS s FROM nation", "SELECT n_nationkey, 1 + CAST('2' || n_regionkey AS BIGINT) AS s FROM nation"),
     "unary_minus": ("SELECT c_custkey, -c_acctbal AS neg FROM customer", None),
     "compare_as_value": ("SELECT p_partkey, p_size > 25 AS big, p_brand = 'Brand#1' AS b1 FROM part", "SELECT p_partkey, CAST(p_size > 25 AS BIGINT) AS big, CAST(p_brand = 'Brand#1' AS BIGINT) AS b1 FROM part"),
     "compare_null_as_value": ("SELECT c_custkey, c_acctbal > 0 AS pos FROM ncust", f"SELECT c_custkey, CAST(c_acctbal > 0 AS BIGINT) AS pos FROM {NCUST}"),
     "logic_as_value": ("SELECT c_custkey, c_acctbal > 0 AND c_mktsegment = 'MACHINERY' AS v, NOT c_acctbal > 0 AS w FROM ncust", f"SELECT c_custkey, CAST(c_acctbal > 0 AND c_mktsegment = 'MACHINERY' AS BIGINT) AS v, CAST(NOT c_acctbal > 0 AS BIGINT) AS w FROM {NCUST}"),
-    "unary_plus_strips_affinity": ("SELECT c_custkey, c_nationkey = '7' AS e, +c_nationkey = '7' AS u FROM customer", "SELECT c_custkey, CAST(c_nationkey = 7 AS BIGINT) AS e, CAST(0 AS BIGINT) AS u FROM customer"),
-    "cross_class_compare": ("SELECT p_partkey, p_size < 'x' AS lt FROM part", "SELECT p_partkey, CAST(1 AS BIGINT) AS lt FROM part"),
+    "unary_plus_strips_affinity": ("SELECT c_custkey, c_nationkey = '7' AS e, +c_nationkey = '7' AS u FROM customer", "SELECT c_custkey, CAST(c_nationkey = 7 AS BIGINT) AS e, CAST(typeof(c_nationkey) = typeof('7') AND CAST(c_nationkey AS VARCHAR) = '7' AS BIGINT) AS u FROM customer"),
+    "cross_class_compare": (
+        "SELECT c_custkey, c_acctbal < c_mktsegment AS lt, c_mktsegment <= 5 AS le, c_acctbal > 'x' AS gt FROM ncust",
+        f"SELECT c_custkey, CASE WHEN c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL THEN 1::BIGINT END AS lt, CASE WHEN c_mktsegment IS NOT NULL THEN 0::BIGINT END AS le, CASE WHEN c_acctbal IS NOT NULL THEN 0::BIGINT END AS gt FROM {NCUST}",
+    ),
     "typeof_columns": ("SELECT c_custkey, typeof(c_nationkey) AS tk, typeof(c_acctbal) AS ta, typeof(c_mktsegment) AS tm FROM ncust", f"SELECT c_custkey, 'integer' AS tk, CASE WHEN c_acctbal IS NULL THEN 'null' ELSE 'real' END AS ta, CASE WHEN c_mktsegment IS NULL THEN 'null' ELSE 'text' END AS tm FROM {NCUST}"),
     "typeof_expressions": ("SELECT n_nationkey, typeof(n_nationkey + 1) AS a, typeof(1.5) AS b, typeof(NULL) AS c, typeof(rowid) AS d FROM nation", "SELECT n_nationkey, 'integer' AS a, 'real' AS b, 'null' AS c, 'integer' AS d FROM nation"),
     # extensions beyond the dialect's own statements, after SQLite's documentation
@@ -108,6 +113,32 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "ext_in_query": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", None),
     "ext_not_in_query": ("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)", None),
     "ext_exists": ("SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 99)", None),
+    "ext_not_exists_correlated": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "ext_in_query_correlated": ("SELECT c_custkey FROM customer c WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > c.c_acctbal)", None),
+    "ext_scalar_query": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)", None),
+    "ext_scalar_query_correlated": ("SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n, (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS most FROM nation ORDER BY n_name LIMIT 20", None),
+    "ext_scalar_query_same_table": ("SELECT c_custkey FROM customer x WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer y WHERE y.c_nationkey = x.c_nationkey)", None),
+    "ext_right_join": ("SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 350000", None),
+    "ext_full_join": ("SELECT x.k AS a, y.k AS b FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey < 15) x FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 8) y ON x.k = y.k", None),
+    "ext_cross_join": ("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < n_regionkey", None),
+    "ext_natural_join": ("SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier)", None),
+    "ext_using": ("SELECT k, n_name, s_suppkey FROM (SELECT n_nationkey AS k, n_name FROM nation) a LEFT JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) b USING (k)", None),
+    "ext_union_all": ("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", None),
+    "ext_glob": ("SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[1-3]*' AND NOT p_name GLOB '*[xyz]'", None),
+    "ext_like_escape": ("SELECT p_partkey, p_brand || '_%' LIKE '%3!_!%' ESCAPE '!' AS e FROM part", "SELECT p_partkey, CAST(p_brand || '_%' ILIKE '%3!_!%' ESCAPE '!' AS BIGINT) AS e FROM part"),
+    "ext_bits": ("SELECT p_partkey, p_partkey & 12 AS a, p_size | 3 AS o, p_size << 3 AS l, p_partkey >> 2 AS r, ~p_size AS n FROM part", "SELECT p_partkey, p_partkey & 12 AS a, (p_size | 3)::BIGINT AS o, (p_size::BIGINT << 3) AS l, p_partkey >> 2 AS r, (~p_size)::BIGINT AS n FROM part"),
+    "ext_isnull_notnull": ("SELECT c_custkey, c_acctbal ISNULL AS i, c_mktsegment NOTNULL AS n FROM ncust", f"SELECT c_custkey, CAST(c_acctbal IS NULL AS BIGINT) AS i, CAST(c_mktsegment IS NOT NULL AS BIGINT) AS n FROM {NCUST}"),
+    "ext_is_distinct_from": ("SELECT c_custkey FROM ncust WHERE c_mktsegment IS DISTINCT FROM 'MACHINERY' AND c_acctbal IS NOT DISTINCT FROM NULL", f"SELECT c_custkey FROM {NCUST} WHERE c_mktsegment IS DISTINCT FROM 'MACHINERY' AND c_acctbal IS NOT DISTINCT FROM NULL"),
+    "ext_nulls_last": ("SELECT c_custkey FROM ncust ORDER BY c_mktsegment NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 40, 200", f"SELECT c_custkey FROM {NCUST} ORDER BY c_mktsegment ASC NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 200 OFFSET 40"),
+    "ext_group_concat": ("SELECT n_regionkey AS k, group_concat(n_name, '; ') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey AS k, string_agg(n_name, '; ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "ext_aggregate_filter": ("SELECT o_custkey AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS n, sum(o_totalprice) FILTER (WHERE o_orderpriority LIKE '1%') AS s FROM orders GROUP BY o_custkey", None),
+    "ext_window_order": ("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn, count(*) OVER () AS n FROM customer ORDER BY rn DESC LIMIT 50 OFFSET 10", None),
+    "ext_window_limit": ("SELECT n_nationkey, count(*) OVER () AS n, sum(n_nationkey) OVER (ORDER BY n_name) AS s FROM nation ORDER BY n_nationkey LIMIT 7", "SELECT n_nationkey, count(*) OVER () AS n, CAST(sum(n_nationkey) OVER (ORDER BY n_name) AS BIGINT) AS s FROM nation ORDER BY n_nationkey LIMIT 7"),
+    "ext_window_range": ("SELECT p_partkey, count(*) OVER (ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, sum(p_partkey) OVER (ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g FROM part", "SELECT p_partkey, count(*) OVER (ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, CAST(sum(p_partkey) OVER (ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS g FROM part"),
+    "ext_window_named": ("SELECT p_partkey, lag(p_size) OVER w AS b, sum(p_size) FILTER (WHERE p_size > 20) OVER (w ROWS 3 PRECEDING) AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)", "SELECT p_partkey, lag(p_size) OVER w AS b, CAST(sum(p_size) FILTER (WHERE p_size > 20) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS 3 PRECEDING) AS BIGINT) AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"),
+    "ext_collate": ("SELECT p_partkey FROM part WHERE p_brand = 'BRAND#3' COLLATE NOCASE ORDER BY p_name COLLATE NOCASE, p_partkey LIMIT 30", "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#3' ORDER BY lower(p_name), p_partkey LIMIT 30"),
+    "ext_no_from": ("SELECT 7 / 2 AS q, 'a' || 1 AS s, NULL IS NULL AS n", "SELECT 3::BIGINT AS q, 'a1' AS s, 1::BIGINT AS n"),
+    "ext_values": ("SELECT column1 AS k, column2 AS s, r_name FROM (VALUES (1, 'one'), (3, 'three'), (9, NULL)) LEFT JOIN region ON r_regionkey = column1", "SELECT k::BIGINT AS k, s, r_name FROM (VALUES (1, 'one'), (3, 'three'), (9, NULL)) v(k, s) LEFT JOIN region ON r_regionkey = k"),
 }
 
 

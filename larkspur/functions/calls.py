@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,8 +74,7 @@ def scalar(name: str, args: list[Value]) -> Value:
         return Value((F.octet_length(v.col) if v.kind == "blob" else F.length(text(v))).cast("long"), "int")
     if n in ("lower", "upper"):
         need(1)
-        low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        return Value(F.translate(text(args[0]), *((high, low) if n == "lower" else (low, high))), "text")
+        return Value(F.translate(text(args[0]), *((_HIGH, _LOW) if n == "lower" else (_LOW, _HIGH))), "text")
     if n in ("trim", "ltrim", "rtrim"):
         need(1, 2)
         return Value(getattr(F, n)(text(args[0]), text(args[1]) if len(args) > 1 else F.lit(" ")), "text")
@@ -113,7 +113,7 @@ def aggregate(name: str, args: list[Value], distinct: bool) -> Value:
     if n == "group_concat":
         parts = F.collect_set(text(v)) if distinct else F.collect_list(text(v))
         glue = args[1].literal if len(args) > 1 else ","
-        return Value(F.nullif(F.concat_ws(str(glue), F.array_sort(parts)), F.lit("")), "text")
+        return Value(F.when(F.size(parts) > 0, F.concat_ws(str(glue), F.array_sort(parts))), "text")
     whole, i, d = _numbers(v)
     over = (lambda c: F.sum_distinct(c)) if distinct else F.sum
     if n == "sum":
@@ -125,16 +125,45 @@ def aggregate(name: str, args: list[Value], distinct: bool) -> Value:
     return Value(F.avg(d) if not distinct else F.sum_distinct(d) / F.count_distinct(d), "real")
 
 
-def like(op: str, v: Value, pattern: Value) -> Value:
+_LOW, _HIGH = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def collated(v: Value, rule: str | None) -> Value:
+    """v as the collation compares it: text only."""
+    if rule in (None, "BINARY") or v.kind != "text":
+        return v
+    if rule == "RTRIM":
+        return replace(v, col=F.rtrim(v.col, F.lit(" ")), literal=None if v.literal is None else v.literal.rstrip(" "), simple=False)
+    lower = None if v.literal is None else v.literal.translate(str.maketrans(_HIGH, _LOW))
+    return replace(v, col=F.translate(v.col, _HIGH, _LOW), literal=lower, simple=False)
+
+
+def where(args: list[Value], test: Column) -> list[Value]:
+    """An aggregate's arguments under FILTER; a row that fails the test counts as NULL. count(*) counts ones."""
+    return [replace(v, col=F.when(test, v.col), test=None, literal=None, simple=False) for v in args or [literal(1)]]
+
+
+def like(op: str, v: Value, pattern: Value, escape: Value | None = None) -> Value:
     """LIKE: % and _, ASCII letters in either case. GLOB: * ? [set], exact."""
+    mark = None
+    if escape is not None:
+        mark = escape.literal
+        if not isinstance(mark, str) or len(mark) != 1:
+            raise DialectError("ESCAPE expression must be a single character")
     if not isinstance(pattern.literal, str):
-        if op == "GLOB":
-            raise DialectError("GLOB needs a literal pattern")
-        return condition(F.ilike(text(v), F.replace(text(pattern), F.lit("\\"), F.lit("\\\\"))))
+        if op == "GLOB" or mark:
+            raise DialectError(f"{'GLOB' if op == 'GLOB' else 'ESCAPE'} needs a literal pattern")
+        low = [F.translate(text(x), _HIGH, _LOW) for x in (v, pattern)]
+        return condition(F.like(low[0], F.replace(low[1], F.lit("\\"), F.lit("\\\\"))))
     p, out = pattern.literal, ""
     if op == "LIKE":
+        plain = False
         for c in p:
-            out += {"%": ".*", "_": "."}.get(c) or (re.escape(c) if c.isascii() else c)
+            if c == mark and not plain:
+                plain = True
+                continue
+            out += (None if plain else {"%": ".*", "_": "."}.get(c)) or (re.escape(c) if c.isascii() else c)
+            plain = False
         return condition(F.regexp_like(text(v), F.lit(f"(?is)\\A{out}\\z")))
     i = 0
     while i < len(p):

@@ -176,7 +176,12 @@ def _number_of_text(t: Column) -> tuple[Column, Column, Column]:
     prefix, start = F.regexp_extract(t, _PREFIX, 1), F.regexp_extract(t, _START, 1)
     i = F.when(start == "", F.lit(0).cast("long")).otherwise(start.try_cast("long"))
     d = F.when(prefix == "", F.lit(0.0)).otherwise(prefix.try_cast("double"))
-    return (prefix == start) & i.isNotNull(), F.coalesce(i, d.try_cast("long")), d
+    return (prefix == start) & i.isNotNull(), F.coalesce(i, _whole(d)), d
+
+
+def _whole(d: Column) -> Column:
+    """A REAL as an INTEGER: towards zero, what leaves 64 bits becomes the nearest that does not."""
+    return F.when(d < 0, F.ceil(d)).otherwise(F.floor(d))
 
 
 def _numbers(v: Value) -> tuple[bool | Column, Column, Column]:
@@ -187,7 +192,7 @@ def _numbers(v: Value) -> tuple[bool | Column, Column, Column]:
         case "int":
             return True, v.col.cast("long"), v.col.cast("double")
         case "real":
-            return False, v.col.try_cast("long"), v.col
+            return False, _whole(v.col), v.col
         case "text" | "blob":
             if isinstance(v.literal, str):
                 m, n = re.match(_PREFIX, v.literal), re.match(_START, v.literal)
@@ -204,7 +209,7 @@ def _numbers(v: Value) -> tuple[bool | Column, Column, Column]:
             known = v.col.isNotNull()
             return (
                 F.when(is_number, _field(v, "i").isNotNull()).otherwise(whole),
-                F.when(known, F.when(is_number, F.coalesce(_field(v, "i"), _field(v, "num").try_cast("long"))).otherwise(i)),
+                F.when(known, F.when(is_number, F.coalesce(_field(v, "i"), _whole(_field(v, "num")))).otherwise(i)),
                 F.when(known, F.when(is_number, _field(v, "num")).otherwise(d)),
             )
     raise DialectError("this column's type is no number")

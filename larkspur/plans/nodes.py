@@ -60,6 +60,7 @@ class Call:
     name: str
     args: tuple[Node, ...]
     distinct: bool = False
+    where: Node | None = None  # FILTER
 
 
 @dataclass(frozen=True)
@@ -75,12 +76,20 @@ class Cast:
     type: str
 
 
+@dataclass(frozen=True)
+class Frame:
+    unit: str  # ROWS RANGE GROUPS
+    low: float | None  # offsets from the current row; None is unbounded
+    high: float | None
+
+
 @dataclass(frozen=True)
 class Windowed:
     call: Call
     partition: tuple[Node, ...]
     order: tuple[Key, ...]
-    rows: tuple[int | None, int | None] | None = None  # offsets from the current row; None is unbounded
+    frame: Frame | None = None
+    named: str | None = None  # a window of the WINDOW clause that this one extends
 
 
 @dataclass(frozen=True)
@@ -95,7 +104,20 @@ class Exists:
     query: Select
 
 
-Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast | Windowed | InQuery | Exists
+@dataclass(frozen=True)
+class Scalar:
+    """A subquery as a value: the first column of its first row, NULL without rows."""
+
+    query: Select
+
+
+@dataclass(frozen=True)
+class Collate:
+    operand: Node
+    name: str
+
+
+Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast | Windowed | InQuery | Exists | Scalar | Collate
 
 
 @dataclass(frozen=True)
@@ -129,12 +151,13 @@ class Join:
 @dataclass(frozen=True)
 class Core:
     items: tuple[Item, ...]
-    source: Source
+    source: Source | None  # None: one row without columns
     joins: tuple[Join, ...] = ()
     where: Node | None = None
     group: tuple[Node, ...] = ()
     having: Node | None = None
     distinct: bool = False
+    values: tuple[tuple[Node, ...], ...] = ()  # VALUES
 
 
 @dataclass(frozen=True)
@@ -168,7 +191,7 @@ def title(node: Node) -> str:
             return f"{title(operand)} {'NOT ' * negated}IN ({','.join(map(title, items))})"
         case Between(operand, low, high, negated):
             return f"{title(operand)} {'NOT ' * negated}BETWEEN {title(low)} AND {title(high)}"
-        case Call(name, args, distinct):
+        case Call(name, args, distinct, _):
             return f"{name}({'DISTINCT ' * distinct}{','.join(map(title, args))})"
         case Cast(operand, kind):
             return f"CAST({title(operand)} AS {kind})"
@@ -180,4 +203,8 @@ def title(node: Node) -> str:
             return f"{title(operand)} {'NOT ' * negated}IN (SELECT)"
         case Exists():
             return "EXISTS"
+        case Scalar():
+            return "(SELECT)"
+        case Collate(operand, name):
+            return f"{title(operand)} COLLATE {name}"
     raise TypeError(node)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import MIXED
-from .schema_text import IndexInfo
-from .sqlite_file import ROWID, SqliteSource, read_catalogue
+from .schema_text import IndexInfo, has_rowid
+from .sqlite_file import ROWID, FileTable, SqliteSource, read_catalogue
 
 _AFFINITY = {"int": "integer", "real": "real", "text": "text", "blob": "blob", "mixed": "blob"}
 
@@ -44,6 +46,9 @@ class Table:
     #: Columns, of what ordered() gives, that put the rows in storage order.
     order: tuple[str, ...] = (ROWID,)
     ordered: Callable[[], DataFrame] | None = field(default=None)
+    #: Files in storage order; LIMIT reads no more of them than it needs, through part(number of files), which is like ordered().
+    files: Callable[[], list[str]] = field(default=list)
+    part: Callable[[int], DataFrame] | None = field(default=None)
 
 
 class Catalogue:
@@ -58,7 +63,8 @@ class Catalogue:
     def get(self, name: str) -> Table:
         key = name.lower()
         if key in self.later:
-            self.later.pop(key)()
+            self.later[key]()  # stays if it fails
+            del self.later[key]
         found = self.tables.get(key)
         if found is None:
             raise LookupError(f"no such table: {name}")
@@ -93,8 +99,17 @@ class Catalogue:
             starts = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
             return rows.join(starts, "__file").withColumn(ROWID, F.col("__before") + F.col("__row") + 1).drop("__file", "__row", "__before")
 
+        @functools.cache
+        def files() -> list[str]:
+            found = [] if single else sorted(map(unquote, df.inputFiles()))
+            return found if not any(set(f) & set("*?[]{}\\") for f in found) else []  # those would be read as patterns
+
+        def part(k: int) -> DataFrame:
+            base = self.spark.read.schema(df.schema).option("basePath", path)
+            return base.parquet(*files()[:k]).withColumns(place)
+
         ordered = numbered if single else lambda: df.withColumns(place)
-        return self._typed(name, df, frame=lambda: df, numbered=numbered, ordered=ordered, order=(ROWID,) if single else ("__file", "__row"))
+        return self._typed(name, df, frame=lambda: df, numbered=numbered, ordered=ordered, order=(ROWID,) if single else ("__file", "__row"), files=files, part=part)
 
     def add_parquet_folder(self, folder: str) -> list[str]:
         """Every <name>.parquet in a local folder."""
@@ -104,28 +119,31 @@ class Catalogue:
         return names
 
     def add_sqlite(self, path: str) -> list[str]:
-        """Every table of a SQLite file. A column is of one class if all its values are, else MIXED; that is found by a
-        distributed scan of the records, once."""
-        spark = self.spark
-        spark.dataSource.register(SqliteSource)
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        out = []
-        for table in read_catalogue(path).values():
-            reader = spark.read.format("sqlite_file").option("path", path).option("table", table.name)
-            seen: dict[int, set[str]] = {}
-            for row in reader.option("mode", "classes").load().distinct().collect():  # at most five rows a column
-                seen.setdefault(row["at"], set()).add(row["kind"])
-            kinds = []
-            for i, c in enumerate(table.columns):
-                found = seen.get(i, set()) - {"null"}
-                empty = {"integer": "int", "text": "text", "real": "real"}.get(c.affinity, "mixed")
-                kinds.append(found.pop() if len(found) == 1 else "mixed" if found else empty)
-            load = spark.read.format("sqlite_file").option("path", path).option("table", table.name).option("kinds", ",".join(kinds)).load
-            names = [c.name for c in table.columns]
-            self.add(Table(
-                table.name, names, frame=lambda load=load: load().drop(ROWID), numbered=load, ordered=load,
-                kinds=dict(zip(names, kinds, strict=True)), affinities={c.name: c.affinity for c in table.columns},
-                rowid_alias=next((c.name for c in table.columns if c.is_rowid), None), indexes=table.indexes, sql=table.sql,
-            ))
-            out.append(table.name.lower())
-        return out
+        """Every table of a SQLite file, opened when a statement first names it."""
+        self.spark.dataSource.register(SqliteSource)
+        self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        found = read_catalogue(path)
+        for key, table in found.items():
+            self.later[key] = lambda table=table: self._sqlite_table(path, table)
+        return sorted(found)
+
+    def _sqlite_table(self, path: str, table: FileTable) -> Table:
+        """A column is of one class if all its values are, else MIXED; that is found by a distributed scan of the records, once."""
+        if not has_rowid(table.sql):
+            raise LookupError(f"table {table.name} is WITHOUT ROWID, which is not supported")
+        reader = lambda: self.spark.read.format("sqlite_file").option("path", path).option("table", table.name)
+        seen: dict[int, set[str]] = {}
+        for row in reader().option("mode", "classes").load().distinct().collect():  # at most five rows a column
+            seen.setdefault(row["at"], set()).add(row["kind"])
+        kinds = []
+        for i, c in enumerate(table.columns):
+            found = seen.get(i, set()) - {"null"}
+            empty = {"integer": "int", "text": "text", "real": "real"}.get(c.affinity, "mixed")
+            kinds.append(found.pop() if len(found) == 1 else "mixed" if found else empty)
+        load = reader().option("kinds", ",".join(kinds)).load
+        names = [c.name for c in table.columns]
+        return self.add(Table(
+            table.name, names, frame=lambda: load().drop(ROWID), numbered=load, ordered=load,
+            kinds=dict(zip(names, kinds, strict=True)), affinities={c.name: c.affinity for c in table.columns},
+            rowid_alias=next((c.name for c in table.columns if c.is_rowid), None), indexes=table.indexes, sql=table.sql,
+        ))

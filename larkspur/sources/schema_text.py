@@ -57,11 +57,13 @@ def _parts(sql: str) -> tuple[list[Token], list[list[Token]], list[Token]]:
     return head, [p for p in parts if p], rest
 
 
+def has_rowid(sql: str) -> bool:
+    return all(t.text.upper() != "WITHOUT" for t in _parts(sql)[2])
+
+
 def columns_of(sql: str) -> list[ColumnInfo]:
     """The columns of a CREATE TABLE statement; the INTEGER PRIMARY KEY is marked."""
-    _, parts, rest = _parts(sql)
-    if any(t.text.upper() == "WITHOUT" for t in rest):
-        raise ValueError("tables WITHOUT ROWID are not supported")
+    parts = _parts(sql)[1]
     out: list[ColumnInfo] = []
     key: str | None = None
     for part in parts:

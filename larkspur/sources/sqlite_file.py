@@ -6,6 +6,7 @@ overflow chains, are read and decoded by the tasks. The file must lie at the sam
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,6 +64,9 @@ class Header:
 
 class Pages:
     def __init__(self, path: str):
+        for kind in ("-wal", "-journal"):
+            if os.path.exists(path + kind) and os.path.getsize(path + kind):
+                raise NotADatabase(f"{path}{kind} has content: the file alone is not the database; open and close it with SQLite first")
         self.file = open(path, "rb")  # noqa: SIM115
         self.header = Header.read(self.file)
 
@@ -73,21 +77,27 @@ class Pages:
         self.file.seek((n - 1) * self.header.page_size)
         return self.file.read(self.header.page_size)
 
+    def _kind(self, n: int, page: bytes) -> int:
+        kind = page[100 if n == 1 else 0]
+        if kind not in (5, 13):
+            raise NotADatabase(f"page {n} is no table page")
+        return kind
+
+    def _below(self, n: int) -> list[int]:
+        """An interior page's children, in key order."""
+        page, at = self.page(n), 100 if n == 1 else 0
+        self._kind(n, page)
+        cells = struct.unpack(">H", page[at + 3 : at + 5])[0]
+        found = [struct.unpack(">I", page[p : p + 4])[0] for p in struct.unpack(f">{cells}H", page[at + 12 : at + 12 + 2 * cells])]
+        return [*found, struct.unpack(">I", page[at + 8 : at + 12])[0]]
+
     def leaves(self, root: int) -> list[int]:
-        """A table tree's leaf pages, in key order."""
-        out, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            page, at = self.page(n), 100 if n == 1 else 0
-            kind, cells = page[at], struct.unpack(">H", page[at + 3 : at + 5])[0]
-            if kind == 13:
-                out.append(n)
-            elif kind == 5:
-                below = [struct.unpack(">I", page[p : p + 4])[0] for p in struct.unpack(f">{cells}H", page[at + 12 : at + 12 + 2 * cells])]
-                todo += [struct.unpack(">I", page[at + 8 : at + 12])[0], *reversed(below)]
-            else:
-                raise NotADatabase(f"page {n} is no table page")
-        return out
+        """A table tree's leaf pages, in key order. All leaves are on one level, so of each level only the first page is read to learn its kind:
+        besides the interior pages, one leaf is."""
+        level = [root]
+        while self._kind(level[0], self.page(level[0])) == 5:
+            level = [child for n in level for child in self._below(n)]
+        return level
 
     def rows(self, leaf: int) -> Iterator[tuple[int, bytes]]:
         """(rowid, record) of each cell."""

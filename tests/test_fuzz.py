@@ -13,11 +13,14 @@ def _value(rng, kind):
     if rng.random() < 0.2:
         return None
     return {
-        "int": lambda: rng.choice([0, 1, -1, 7, 10, 20, 30, -500, 2**31, 123456789]),
-        "text": lambda: rng.choice(["hello", "world", "10", "7", " 7 ", "1e3", "12abc", "", "A", "a", "x'y", "-3.5", "é"]),
-        "real": lambda: rng.choice([0.0, 3.14, 5.0, 2.71, -0.5, 1e10, 7.0]),
+        # small numbers that meet, the edges of stored widths, and what sums and products of three of them keep within 64 bits
+        "int": lambda: rng.choice([*range(-3, 12), -(2**7), 2**15 - 1, 2**16 + 1, -(2**20)]),
+        # plain words in both cases, texts that read as numbers in full or in part, blanks, quotes, beyond ASCII, a long one
+        "text": lambda: rng.choice(["apple", "Apple", "hello", "10", "7", " 4\t", "+8", "-3.5", "6e2", ".5", "9lives", "0x1F", "", " ", "it's", "%_", "ß", "zażółć", "long " * 60]),
+        # whole values, halves, negative zero, and magnitudes that print with an exponent
+        "real": lambda: rng.choice([-0.0, 1.0, 4.0, 7.0, 0.5, -2.25, 1 / 3, 6.02e23, 1.6e-19]),
         "mixed": lambda: _value(rng, rng.choice(["int", "text", "real", "blob"])),
-        "blob": lambda: rng.choice([b"\x01\x02", b"hello", b""]),
+        "blob": lambda: rng.choice([b"", b"\x01", b"7", b"hello", "zaż".encode()]),
     }[kind]()
 
 
@@ -29,6 +32,9 @@ def pair(spark, tmp_path_factory):
     db.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, a INTEGER, b TEXT, c REAL, d)")
     for i in range(1, 61):
         db.execute("INSERT INTO t VALUES(?,?,?,?,?)", (i, *(_value(rng, k) for k in ("int", "text", "real", "mixed"))))
+    db.execute("CREATE TABLE u(k INTEGER, w TEXT)")
+    for _ in range(15):
+        db.execute("INSERT INTO u VALUES(?,?)", (_value(rng, "int"), _value(rng, "text")))
     db.commit()
     return Engine(spark, sqlite=path), db
 
@@ -135,6 +141,44 @@ def test_filters_and_order(pair):
     "WITH x(k) AS (SELECT a FROM t), y AS (SELECT k + 1 AS m FROM x WHERE k IS NOT NULL) SELECT m, count(*) AS n FROM y GROUP BY m ORDER BY m",
     "SELECT id, row_number() OVER (ORDER BY b, id) AS r, sum(a) OVER (PARTITION BY b ORDER BY id) AS s, count(*) OVER (PARTITION BY b) AS n, lead(id, 2) OVER (ORDER BY id) AS l FROM t ORDER BY id",
     "SELECT max(a, id) AS hi, min(a, id, 3) AS lo, id FROM t ORDER BY id",
+    "SELECT 1+1 AS x, 'a' AS y",
+    "SELECT 1 WHERE 0",
+    "VALUES (1,'a'),(2,NULL)",
+    "SELECT * FROM (VALUES (1,'a'),(2,'b')) ORDER BY column1 DESC",
+    "SELECT id, (SELECT max(k) FROM u) AS m FROM t ORDER BY id",
+    "SELECT id, (SELECT count(*) FROM u WHERE u.k = t.a) AS m FROM t ORDER BY id",
+    "SELECT id FROM t WHERE a = (SELECT min(k) FROM u) ORDER BY id",
+    "SELECT id FROM t WHERE a > (SELECT avg(k) FROM u WHERE w = b COLLATE NOCASE) ORDER BY id",
+    "SELECT id FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.k = t.a) ORDER BY id",
+    "SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE k = a) ORDER BY id",
+    "SELECT id FROM t WHERE a IN (SELECT k FROM u WHERE w = b) ORDER BY id",
+    "SELECT id FROM t WHERE a NOT IN (SELECT k FROM u WHERE w = b) ORDER BY id",
+    "SELECT id FROM t WHERE a = 1 OR EXISTS (SELECT 1 FROM u WHERE u.k = t.a + 1) ORDER BY id",
+    "SELECT id, EXISTS (SELECT 1 FROM u WHERE k = 9) AS e FROM t ORDER BY id LIMIT 2",
+    "SELECT a, count(*) FILTER (WHERE b = 'x') AS n, sum(c) FILTER (WHERE id > 10) AS s FROM t GROUP BY a ORDER BY a",
+    "SELECT id, count(*) FILTER (WHERE b = 'y') OVER (ORDER BY id) AS n FROM t ORDER BY id",
+    "SELECT id, sum(a) OVER (ORDER BY id RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s FROM t ORDER BY id",
+    "SELECT id, count(*) OVER (ORDER BY a GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM t ORDER BY id",
+    "SELECT id, sum(id) OVER w AS s, row_number() OVER (w ROWS UNBOUNDED PRECEDING) AS r FROM t WINDOW w AS (PARTITION BY b ORDER BY id) ORDER BY id LIMIT 9",
+    "SELECT id FROM t WHERE b = 'Y' COLLATE NOCASE ORDER BY b COLLATE NOCASE, id",
+    "SELECT id, b FROM t ORDER BY b COLLATE NOCASE DESC, id",
+    "SELECT id FROM t WHERE b LIKE '5!_%' ESCAPE '!' ORDER BY id",
+    "SELECT id FROM t WHERE b LIKE '%!%' ESCAPE '!' ORDER BY id",
+    "SELECT id FROM t WHERE b NOT LIKE b ORDER BY id",
+    "SELECT id FROM t WHERE b LIKE upper(b) ORDER BY id",
+    "SELECT b, max(id) AS m, a FROM t GROUP BY b ORDER BY b",
+    "SELECT b, min(c) AS m, a+1 AS n FROM t WHERE c IS NOT NULL AND id<9 GROUP BY b ORDER BY b",
+    "SELECT a, group_concat(b) IS NULL AS g FROM t GROUP BY a ORDER BY a",
+    "SELECT id, count(*) OVER () AS n FROM main.t ORDER BY id LIMIT 3 OFFSET 2",
+    "SELECT a, (SELECT count(*) FROM u WHERE k = a) AS n, count(*) AS c FROM t GROUP BY a ORDER BY a",
+    "SELECT id FROM t x WHERE a = (SELECT max(a) FROM t y WHERE y.b = x.b) ORDER BY id",
+    "SELECT id, (SELECT w FROM u WHERE u.k = t.a ORDER BY w LIMIT 1) AS f FROM t ORDER BY id",
+    "SELECT id FROM t WHERE (SELECT count(*) FROM u WHERE k = a) BETWEEN 1 AND 2 ORDER BY id",
+    "SELECT id, a IN (SELECT k FROM u WHERE k IS NOT NULL) AS i FROM t ORDER BY id",
+    "SELECT count(*) OVER () AS n, row_number() OVER (ORDER BY b, id) AS r FROM t ORDER BY id LIMIT 3",
+    "SELECT id FROM t ORDER BY row_number() OVER (ORDER BY id DESC) LIMIT 4 OFFSET 1",
+    "SELECT a, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM t GROUP BY a ORDER BY r, a",
+    "SELECT group_concat(w) IS NULL, group_concat('') AS e FROM (SELECT '' AS w)",
 ])
 def test_statement(pair, sql):
     engine, db = pair

@@ -38,13 +38,44 @@ def test_several_files_have_one_numbering(spark, tmp_path):
     assert [tuple(r) for r in e.plan("SELECT rowid AS r, v FROM t WHERE rowid > 28 ORDER BY v").collect()] == [(29, 28), (30, 29)]
 
 
-@pytest.mark.parametrize("sql", ["", "SELECT", "SELECT a", "SELECT a FROM t WHERE", "SELECT a FROM t LIMIT x", "SELECT a, FROM t", "SELECT a FROM t ORDER a", "SELECT 'x FROM t", "SELECT a FROM t; SELECT b FROM t", "SELECT a IN 3 FROM t"])
+def test_limit_reads_no_more_files_than_it_needs(spark, tmp_path):
+    for i in range(40):
+        spark.range(i * 100, i * 100 + 100).selectExpr("id AS v", "id % 7 AS m").coalesce(1).write.parquet(str(tmp_path / "t.parquet" / f"p={i:02d}"))
+    e = Engine(spark, parquet=str(tmp_path))
+    scanned = lambda sql: _files_read(e.plan(sql))
+    assert [r[0] for r in e.plan("SELECT v FROM t LIMIT 5 OFFSET 130").collect()] == list(range(130, 135))
+    assert scanned("SELECT v FROM t LIMIT 5") == 1
+    assert scanned("SELECT v FROM t LIMIT 5 OFFSET 130") == 4
+    assert [r[0] for r in e.plan("SELECT v FROM t WHERE m = 3 LIMIT 3 OFFSET 40").collect()] == [v for v in range(4000) if v % 7 == 3][40:43]
+    assert scanned("SELECT v FROM t WHERE m = 3 LIMIT 3 OFFSET 40") == 4
+    assert [r[0] for r in e.plan("SELECT v FROM t WHERE v > 3990 LIMIT 30").collect()] == list(range(3991, 4000))
+    assert e.plan("SELECT v FROM t LIMIT 0").collect() == [] and scanned("SELECT v FROM t ORDER BY v LIMIT 5") == 40
+
+
+def _files_read(df):
+    """Files that the scans of an executed plan read, from the scans' metrics."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif hasattr(plan, "plan") and "QueryStage" in plan.getClass().getSimpleName():
+            todo.append(plan.plan())
+        elif plan.getClass().getSimpleName() == "FileSourceScanExec":
+            found += plan.metrics().apply("numFiles").value()
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("sql", ["", "SELECT", "SELECT a b c", "SELECT a FROM t WHERE", "SELECT a FROM t LIMIT x", "SELECT a, FROM t", "SELECT a FROM t ORDER a", "SELECT 'x FROM t", "SELECT a FROM t; SELECT b FROM t", "SELECT a IN 3 FROM t"])
 def test_rejected(sql):
     with pytest.raises(ParseError):
         parse(sql)
 
 
-@pytest.mark.parametrize("sql", ["SELECT nope FROM nation", "SELECT n_name FROM nope", "SELECT n_name FROM nation ORDER BY nope", "SELECT x.n_name FROM nation", "SELECT n_name FROM nation a JOIN nation b ON 1"])
+@pytest.mark.parametrize("sql", ["SELECT nope FROM nation", "SELECT n_name FROM nope", "SELECT n_name FROM nation ORDER BY nope", "SELECT x.n_name FROM nation", "SELECT n_name FROM nation a JOIN nation b ON 1", "SELECT a", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE nope = 1)"])
 def test_names_fail_when_planned(engine, sql):
     with pytest.raises(LookupError):
         engine.plan(sql)

@@ -97,3 +97,43 @@ def test_every_class(spark, tmp_path):
     assert [tuple(r) for r in engine.plan(sql).collect()] == db.execute(sql).fetchall()
     kinds = dict(engine.plan("SELECT * FROM v").dtypes)
     assert (kinds["i"], kinds["t"], kinds["b"], kinds["r"]) == ("bigint", "string", "binary", "double") and kinds["d"].startswith("struct")
+
+
+def test_the_driver_reads_interior_pages_and_one_leaf(tmp_path, monkeypatch):
+    path = str(tmp_path / "x.db")
+    db = build(path, [("CREATE TABLE big(id INTEGER PRIMARY KEY, s TEXT)",), *[("INSERT INTO big VALUES(?,?)", (i, f"name {i}" * 4)) for i in range(20_000)]], 512)
+    read = []
+    plain = Pages.page
+    monkeypatch.setattr(Pages, "page", lambda self, n: read.append(n) or plain(self, n))
+    root = read_catalogue(path)["big"].root
+    read.clear()
+    pages = Pages(path)
+    leaves = pages.leaves(root)
+    kinds = [plain(pages, n)[0] for n in set(read)]
+    assert kinds.count(13) == 1 and kinds.count(5) == len(kinds) - 1 and len(set(read)) * 20 < len(leaves)
+    assert sum(1 for leaf in leaves for _ in pages.rows(leaf)) == 20_000 and db.execute("SELECT count(*) FROM big").fetchone() == (20_000,)
+
+
+def test_a_table_that_cannot_be_read_fails_alone_and_classes_are_lazy(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "x.db")
+    build(path, [("CREATE TABLE a(x INTEGER)",), ("INSERT INTO a VALUES(3)",), ("CREATE TABLE w(k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID",), ("INSERT INTO w VALUES('a', 1)",), ("CREATE TABLE n(c TEXT DEFAULT 'WITHOUT ROWID')",)])
+    engine = Engine(spark, sqlite=path)
+    assert engine.tables() == ["a", "n", "w"] and not engine.catalogue.tables
+    assert [tuple(r) for r in engine.plan("SELECT x FROM main.a").collect()] == [(3,)]
+    assert set(engine.catalogue.tables) == {"a"}
+    for _ in range(2):
+        with pytest.raises(LookupError, match="WITHOUT ROWID"):
+            engine.plan("SELECT * FROM w")
+    assert engine.plan("SELECT * FROM n").collect() == []
+
+
+def test_content_in_a_write_ahead_log_is_refused(tmp_path):
+    path = str(tmp_path / "x.db")
+    db = sqlite3.connect(path)
+    db.execute("PRAGMA journal_mode=WAL")
+    db.execute("CREATE TABLE a(x INTEGER)")
+    db.commit()
+    with pytest.raises(NotADatabase, match="-wal"):
+        read_catalogue(path)
+    db.close()
+    assert set(read_catalogue(path)) == {"a"}

@@ -21,7 +21,11 @@ def test_projection_and_filter(spark, events):
     assert sorted(r[0] for r in spark.table("got").collect()) == sorted(r[0] for r in want.select("event_id").collect())
 
 
-@pytest.mark.parametrize("sql", ["SELECT event_id FROM events ORDER BY event_id", "SELECT event_id FROM events LIMIT 3", "SELECT DISTINCT user_id FROM events", "SELECT user_id FROM events GROUP BY user_id"])
+@pytest.mark.parametrize("sql", ["SELECT event_id FROM events ORDER BY event_id", "SELECT event_id FROM events LIMIT 3", "SELECT DISTINCT user_id FROM events", "SELECT user_id FROM events GROUP BY user_id",
+    "SELECT count(*) FROM events", "SELECT row_number() OVER (ORDER BY event_id) AS r FROM events", "WITH e AS (SELECT * FROM events) SELECT event_id FROM e",
+    "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events)", "SELECT (SELECT max(user_id) FROM events) AS m FROM events",
+    "SELECT e FROM (SELECT max(event_id) AS e FROM events)", "SELECT event_id FROM events UNION ALL SELECT event_id FROM events", "SELECT 1",
+])
 def test_stateful_statements_are_refused(events, sql):
     with pytest.raises(StatefulStatement):
         plan_stream(sql, {"events": events})
