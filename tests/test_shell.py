@@ -74,3 +74,63 @@ def test_real_text(spark, v):
     want = "0.0" if want == "-0.0" else want
     assert real_text(v) == want
     assert spark.range(1).select(_real_texts(F.lit(v))).first()[0] == want
+
+
+#: A column of each declared type that the file format's affinity rules tell apart.
+TYPES = {
+    "id": "INTEGER PRIMARY KEY", **{f"i_{t.lower().replace(' ', '_')}": f'"{t}"' if " " in t else t for t in ("INTEGER", "INT", "TINYINT", "SMALLINT", "MEDIUMINT", "BIGINT", "UNSIGNED BIG INT", "INT2", "INT4", "INT8")},
+    "t_text": "TEXT", "t_character": "CHARACTER(20)", "t_varchar": "VARCHAR(255)", "t_varying": '"VARYING CHARACTER(255)"', "t_nchar": "NCHAR(55)", "t_native": '"NATIVE CHARACTER(70)"', "t_nvarchar": "NVARCHAR(100)", "t_clob": "CLOB",
+    "b_blob": "BLOB", "b_json": '"JSON BLOB"', "b_none": "", "r_real": "REAL", "r_double": "DOUBLE", "r_precision": '"DOUBLE PRECISION"', "r_float": "FLOAT",
+    "n_numeric": "NUMERIC", "n_decimal": "DECIMAL(10,5)", "n_boolean": "BOOLEAN", "n_date": "DATE", "n_datetime": "DATETIME", "n_timestamp": "TIMESTAMP", "n_json": "JSON", "n_jsonb": "JSONB",
+}
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("wide") / "w.db")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE w(" + ", ".join(f"{c} {t}" for c, t in TYPES.items()) + ")")
+    edges = [127, -128, 32767, -32768, 8388607, -8388608, 2147483647, 140737488355327, 2**63 - 1, -(2**63)]
+    kinds = {
+        "i": [edges, [0] * 10, [None] * 10, [1, 255, 65535, 2**24, -1, 2**47, 2**48, -(2**31) - 1, 7, 8]],
+        "t": [["plain"] * 8, [""] * 8, [None] * 8, ["é", "7", "x'y", "a|b", " lead", "long " * 900, "tab\tbed", "1e5"]],
+        "b": [[b"bytes", '{"a":1}', "any"], [b"", "[]", b"blob"], [None] * 3, [b"z" * 5000, "x", "text"]],
+        "r": [[1.5, -2.25, 1e300, 3.0], [0, -0.0, 5, -7], [None] * 4, [1 / 3, 2.5e-9, 1e15, 123456789.125]],
+        "n": [[12, 99.75, 1, "2024-01-31", "2024-01-31 10:00:00", "now", '{"k":2}', "[1]"], [0, 0, 0, "", "x", "y", "{}", "null"], [None] * 8, [-5, -0.125, 1, "1999", "20240131", 3, "7", 8.5]],
+    }
+    for i in range(4):
+        row = [i + 1, *[x for k in "itbrn" for x in kinds[k][i]]]
+        db.execute(f"INSERT INTO w VALUES({','.join('?' * len(TYPES))})", row)
+    db.execute("CREATE TABLE goods(id INTEGER PRIMARY KEY, label TEXT, price REAL, shelf TEXT, stock INTEGER)")
+    db.executemany("INSERT INTO goods VALUES(?,?,?,?,?)", [(i, f"{'abcdefgh'[i % 8]}{i}", i * 2.5 % 7, ("top", "low", None)[i % 3], None if i % 5 == 4 else i * 10) for i in range(1, 30)])
+    db.execute("CREATE INDEX on_shelf ON goods(shelf)")
+    db.commit()
+    return Engine(spark, sqlite=path), db
+
+
+def listed(db, sql, headers):
+    """What the library's own shell prints in list mode, where it prints reals with 15 digits."""
+
+    def text(x):
+        return "" if x is None else real_text(x) if isinstance(x, float) else x.decode() if isinstance(x, bytes) else str(x)
+
+    cursor = db.execute(sql)
+    rows = cursor.fetchall()
+    return "".join("|".join(r) + "\n" for r in ([[c[0] for c in cursor.description]] if headers and rows else []) + [list(map(text, r)) for r in rows])
+
+
+STATEMENTS = [
+    "SELECT * FROM w", *[f"SELECT id, {c}, typeof({c}) AS k FROM w" for c in ("i_integer", "b_none", "b_json", "r_float", "n_decimal", "n_timestamp", "n_jsonb")],
+    "SELECT id, i_bigint, i_int8 FROM w WHERE i_bigint > 100 ORDER BY i_bigint DESC", "SELECT t_clob FROM w WHERE t_clob = 7", "SELECT r_real, r_real + 1 AS more, -r_double AS less FROM w ORDER BY r_real", "SELECT n_decimal FROM w ORDER BY n_decimal",
+    "SELECT * FROM goods ORDER BY price, id", "SELECT label, price FROM goods ORDER BY price DESC, label LIMIT 3", "SELECT label FROM goods ORDER BY stock, id LIMIT 4 OFFSET 2", "SELECT * FROM goods LIMIT 5", "SELECT id, label FROM goods LIMIT 3 OFFSET 26",
+    "SELECT label FROM goods WHERE shelf = 'top' ORDER BY id LIMIT 2", "SELECT id, shelf FROM goods WHERE shelf IS NULL", "SELECT id FROM goods WHERE shelf IS NOT 'low' AND stock >= 60", "SELECT id FROM goods WHERE shelf IN ('top', 'low') AND price > 5 ORDER BY id", "SELECT id FROM goods WHERE stock = 10 OR shelf = 'low' OR price < 1 ORDER BY id",
+    "SELECT id, price > 3 AS p, shelf = 'top' AS t, stock IS NULL AS n FROM goods WHERE id < 9", "SELECT id, stock / 7 AS q, stock % 7 AS r, price * 2 AS d, label || '-' || stock AS s FROM goods WHERE id <> 4", "SELECT id FROM goods WHERE id = 99", "SELECT rowid AS r, id FROM goods WHERE rowid >= 28",
+]
+
+
+@pytest.mark.parametrize("headers", [True, False])
+def test_a_batch_gives_the_librarys_lines(wide, headers):
+    engine, db = wide
+    got = run(engine, f".headers {'on' if headers else 'off'}\n.mode list\n" + "".join(f"{s};\n" for s in STATEMENTS))
+    want = "".join(listed(db, s, headers) for s in STATEMENTS)
+    assert got.splitlines() == want.splitlines()
