@@ -38,7 +38,8 @@ SEED, PLACES, MOST_BLOCK_BITS = 20_011, 63, 30
 def token_count(text: Column) -> Column:
     """Runs of non-space characters."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D ]+", " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    # no branch: Spark computes flat once only where it is needed for sure
+    return (F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + (flat != "").cast("int")).cast("long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
