@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from .values import (
-    DialectError, Value, _either, _numbers, class_name, compare, condition, literal, sort_column, text, truth, unify,
+    DialectError, Value, _as_numeric, _either, _field, _numbers, class_name, compare, condition, literal, sort_column, text, truth, unify,
 )
 
 AGGREGATES = {"count", "sum", "total", "avg", "min", "max", "group_concat"}
@@ -43,6 +43,19 @@ def _extreme(values: list[Value], op: str) -> Value:
     return best
 
 
+_TIMES = {"CURRENT_DATE": "yyyy-MM-dd", "CURRENT_TIME": "HH:mm:ss", "CURRENT_TIMESTAMP": "yyyy-MM-dd HH:mm:ss"}
+
+
+def constant(name: str) -> Value | None:
+    """Names that are values where no column has them; times are in UTC."""
+    if name.upper() in ("TRUE", "FALSE"):
+        return literal(int(name.upper() == "TRUE"))
+    if name.upper() in _TIMES:
+        now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+        return Value(F.date_format(now, _TIMES[name.upper()]), "text")
+    return None
+
+
 def scalar(name: str, args: list[Value]) -> Value:
     n = name.lower()
 
@@ -75,6 +88,23 @@ def scalar(name: str, args: list[Value]) -> Value:
     if n in ("lower", "upper"):
         need(1)
         return Value(F.translate(text(args[0]), *((_HIGH, _LOW) if n == "lower" else (_LOW, _HIGH))), "text")
+    if n == "hex":
+        need(1)
+        v = args[0]
+        raw = v.col if v.kind == "blob" else _field(v, "b") if v.kind == "mixed" else None
+        shown = text(v).cast("binary")
+        return Value(F.coalesce(F.hex(F.coalesce(raw, shown) if raw is not None else shown), F.lit("")), "text")
+    if n == "unicode":
+        need(1)
+        first = F.substr(text(args[0]), F.lit(1), F.lit(1))
+        # four bytes of UTF-32 are the number
+        return Value(F.when(first != "", F.conv(F.hex(F.encode(first, "UTF-32")), 16, 10).cast("long")), "int")
+    if n == "sign":
+        need(1)
+        v = args[0]
+        whole, i, d = _numbers(_as_numeric(v) if v.kind in ("text", "mixed") else v)
+        known = class_name(_as_numeric(v) if v.kind in ("text", "mixed") else v).isin("integer", "real")
+        return Value(F.when(known, F.signum(d).cast("long")), "int")
     if n in ("trim", "ltrim", "rtrim"):
         need(1, 2)
         return Value(getattr(F, n)(text(args[0]), text(args[1]) if len(args) > 1 else F.lit(" ")), "text")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.calls import aggregate, choose, collated, is_aggregate, like, scalar, where, windowed
+from ..functions.calls import aggregate, choose, collated, constant, is_aggregate, like, scalar, where, windowed
 from ..functions.values import Value
 from ..operators.rows import cut, ordered, sort_key
 from ..operators.sets import combine
@@ -96,6 +96,8 @@ class Scope:
             some = [p.rowid for p in self.parts if (node.table is None or node.table.lower() == p.alias)]
             if len(some) == 1 and some[0] is not None:
                 return some[0]
+        if node.table is None and (found := constant(node.name)) is not None:
+            return found
         if self.outer is not None:
             found = self.outer.value(node)
             self.lowering.correlated = True

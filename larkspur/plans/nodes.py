@@ -111,13 +111,20 @@ class Scalar:
     query: Select
 
 
+@dataclass(frozen=True)
+class Row:
+    """(a, b): only compared, which the parser writes out."""
+
+    items: tuple[Node, ...]
+
+
 @dataclass(frozen=True)
 class Collate:
     operand: Node
     name: str
 
 
-Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast | Windowed | InQuery | Exists | Scalar | Collate
+Node = Literal | Name | Star | Unary | Binary | IsNull | InList | Between | Call | Case | Cast | Windowed | InQuery | Exists | Scalar | Collate | Row
 
 
 @dataclass(frozen=True)
@@ -205,6 +212,8 @@ def title(node: Node) -> str:
             return "EXISTS"
         case Scalar():
             return "(SELECT)"
+        case Row(items):
+            return f"({','.join(map(title, items))})"
         case Collate(operand, name):
             return f"{title(operand)} COLLATE {name}"
     raise TypeError(node)

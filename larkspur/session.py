@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.lowering import Lowering
@@ -18,15 +20,15 @@ class Engine:
         if parquet:
             self.catalogue.add_parquet_folder(parquet)
 
-    def plan(self, sql: str) -> DataFrame:
-        """The statement as a lazy DataFrame; its names are resolved here."""
-        return Lowering(self.catalogue).run(parse(sql))
+    def plan(self, sql: str, params: Sequence | Mapping[str, object] = ()) -> DataFrame:
+        """The statement as a lazy DataFrame; its names are resolved here. params: values for its variables, in order or by name."""
+        return Lowering(self.catalogue).run(parse(sql, params))
 
     execute = plan
 
-    def rows(self, sql: str) -> list[dict]:
+    def rows(self, sql: str, params: Sequence | Mapping[str, object] = ()) -> list[dict]:
         """All rows as dicts; of columns with one name the last wins."""
-        df = self.plan(sql)
+        df = self.plan(sql, params)
         return [dict(zip(df.columns, r, strict=True)) for r in df.collect()]
 
     def explain(self, sql: str) -> str:

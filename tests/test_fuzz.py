@@ -186,3 +186,23 @@ def test_statement(pair, sql):
     assert len(want) == len(got)
     for x, y in zip(want, got, strict=True):
         assert all(_same(a, b) for a, b in zip(x, y, strict=True)), (x, y)
+
+
+@pytest.mark.parametrize(("sql", "params"), [
+    ("SELECT id FROM t WHERE a = ? AND b <> ? ORDER BY id LIMIT ?", (2, "x", 3)),
+    ("SELECT id, ?2 AS x, ?1 AS y, ? AS z FROM t WHERE id < 3 ORDER BY id", ("p", 1.5, None)),
+    ("SELECT :k + 1 AS n, $s AS s, @b AS b", {"k": 4, "s": "it's", "b": b"\x01"}),
+    ("SELECT id, a IS TRUE AS t, a IS NOT FALSE AS f, TRUE AS x, b IS FALSE AS g FROM t ORDER BY id", ()),
+    ("SELECT id FROM t WHERE (a, id) > (2, 10) ORDER BY id", ()),
+    ("SELECT id FROM t WHERE (a, b) = (7, '7') OR (id, a) IN ((1, 3), (4, 2)) ORDER BY id", ()),
+    ("SELECT id, (a, b) IS (1, NULL) AS i, (a, id) <= (3, 7) AS l, (a, b) <> (1, 'apple') AS n FROM t ORDER BY id", ()),
+    ("SELECT id FROM t WHERE (a, id) NOT IN ((1, 0), (3, 1)) ORDER BY id", ()),
+    ("SELECT id, hex(b) AS h, unicode(b) AS u, sign(c) AS s, sign(b) AS t, hex(a) AS i FROM t ORDER BY id", ()),
+    ("SELECT typeof(CURRENT_DATE) AS d, length(CURRENT_TIMESTAMP) AS t, length(CURRENT_TIME) AS s", ()),
+])
+def test_variables_rows_and_truth(pair, sql, params):
+    engine, db = pair
+    want, got = db.execute(sql, params).fetchall(), engine.plan(sql, params).collect()
+    assert len(want) == len(got)
+    for x, y in zip(want, got, strict=True):
+        assert all(_same(a, b) for a, b in zip(x, y, strict=True)), (x, y)
