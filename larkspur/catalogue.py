@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,6 +147,38 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: As STATEMENTS, over a SQLite file that holds region and nation.
+FILE_STATEMENTS: dict[str, tuple[str, str]] = {
+    "sqlite_scan": ("SELECT * FROM nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::DOUBLE AS n_regionkey, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey::BIGINT END AS n_odd FROM nation"),
+    "sqlite_rowid_filter": ("SELECT rowid AS r, n_name FROM nation WHERE r > 7 AND n_odd IS NOT NULL", "SELECT n_nationkey::BIGINT AS r, n_name FROM nation WHERE n_nationkey > 7 AND n_nationkey % 3 > 0"),
+    "sqlite_limit": ("SELECT n_name FROM nation LIMIT 6 OFFSET 3", "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 6 OFFSET 3"),
+    "sqlite_real_affinity": ("SELECT n_nationkey AS k, n_regionkey = '2' AS e, typeof(n_regionkey) AS t, n_regionkey / 2 AS h FROM nation", "SELECT n_nationkey::BIGINT AS k, CAST(n_regionkey = 2 AS BIGINT) AS e, 'real' AS t, n_regionkey / 2.0::DOUBLE AS h FROM nation"),
+    "sqlite_join": ("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name > 'B'", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name > 'B'"),
+}
+
+
+def library_file(spark: SparkSession, sf_dir: str) -> str:
+    """A SQLite file with region and nation (30 rows at every scale), in a folder that all machines have."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp() if folder is None else folder.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"tables-{uuid.uuid4().hex}.db")
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE region(r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+    db.execute("CREATE TABLE nation(n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey REAL, n_odd)")
+    db.execute("CREATE INDEX by_region ON nation(n_regionkey)")
+    rows = {name: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()] for name in ("region", "nation")}
+    db.executemany("INSERT INTO region VALUES(?,?)", rows["region"])
+    db.executemany("INSERT INTO nation VALUES(?,?,?,?)", [(*r, r[0] if r[0] % 3 else None) for r in rows["nation"]])
+    db.commit()
+    db.close()
+    return path
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     out = Engine(spark)
     tables = out.catalogue
@@ -162,9 +199,13 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).plan(sql)
 
 
+def _file_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Engine(spark, sqlite=library_file(spark, sf_dir)).plan(sql)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(sql) for name, (sql, _) in STATEMENTS.items()}
+    return {name: _query(sql) for name, (sql, _) in STATEMENTS.items()} | {name: _file_query(sql) for name, (sql, _) in FILE_STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: other or sql for name, (sql, other) in STATEMENTS.items()}
+    return {name: other or sql for name, (sql, other) in {**STATEMENTS, **FILE_STATEMENTS}.items()}

@@ -44,7 +44,7 @@ def _plain(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(catalogue.STATEMENTS))
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_statement_against_its_oracle(spark, db, name):
     got = catalogue.queries()[name](spark, DIR)
     want = db.execute(catalogue.oracle_sql()[name])
