@@ -154,8 +154,9 @@ def mix(docs: DataFrame, evenness: float | None = 0.95, repeats: float | None =
     quotas = sources.select("__source", F.col("tokens").alias("__all"), weight.alias("mix_weight"), bits.alias("__bits"), F.round(weight * F.lit(budget)).cast("long").alias("__quota"))
     epochs = F.call_function("div", F.col("__quota"), F.col("__all"))
     plan = quotas.withColumns({"__epochs": epochs, "__rest": F.col("__quota") - epochs * F.col("__all")})
-    plan = materialize(_cuts(narrow, materialize(plan.filter("__quota > 0"), "mixing-quotas")), "mixing-plan")
-    discard(narrow, sources)
+    plan = materialize(plan.filter("__quota > 0"), "mixing-quotas")
+    plan, quotas = materialize(_cuts(narrow, plan), "mixing-plan"), plan
+    discard(narrow, sources, quotas)
     dealt = _keyed(docs).join(plan, "__source").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs"))))
     dealt = dealt.withColumn("__place", place_of(F.col("__hash"), F.col("__bits"), F.col("mix_epoch")))
     taken = dealt.filter((F.col("mix_epoch") < F.col("__epochs")) | (F.col("__place") < F.col("__cut")))
