@@ -398,21 +398,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component: that of the smallest id (null after all others), then of the smallest text hash; of rows that
     repeat this id and text, one. Rows without words all stay."""
-    taken = set(docs.columns)
-    key = ["__one_id", "__one_hash"]
-    if taken & set(key):
+    key = ["__one_null", "__one_id", "__one_hash"]
+    if set(docs.columns) & set(key):
         raise ValueError(f"columns {key} are taken")
-    found = components_of(docs, k, num, den).filter("component IS NOT NULL").select("component", F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1]))
-    order = F.struct(F.col(key[0]).isNull(), F.col(key[0]), F.col(key[1]))
+    of = lambda id_, hash_: dict(zip(key, (id_.isNull(), F.coalesce(id_, F.lit(0)), hash_), strict=True))
+    found = components_of(docs, k, num, den).filter("component IS NOT NULL")
+    found = found.select("component", *[c.alias(n) for n, c in of(F.col("doc_id"), F.col("text_hash")).items()])
     rows = found.groupBy("component", *key).agg(F.count(F.lit(1)).alias("rows"))
-    firsts = rows.groupBy("component").agg(F.min_by(F.struct(*key), order).alias("best"))
-    judged = rows.join(firsts, "component").withColumn("stays", F.struct(*key).eqNullSafe(F.col("best"))).select(*key, "rows", "stays")
-    gone, several = materialize(judged.filter("NOT stays").select(*key), "gone"), materialize(judged.filter("stays AND rows > 1").select(*key), "several")
-    keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: text_hash(F.col("text"))})
-    same = lambda a, b: a[key[1]].eqNullSafe(b[key[1]]) & a[key[0]].eqNullSafe(b[key[0]])
-    left = keyed.join(gone, same(keyed, gone), "left_anti")
-    if several.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(several, same(left, several), "left_anti")
-    repeated = left.join(several, same(left, several), "left_semi").dropDuplicates(key)
-    return once.unionByName(repeated).select(*docs.columns)
+    firsts = rows.groupBy("component").agg(F.min(F.struct(*key)).alias("best"))
+    gone = materialize(rows.join(firsts, "component").filter(F.struct(*key) != F.col("best")).select(*key), "gone")
+    keyed = docs.withColumns(of(F.col("doc_id").cast("long"), text_hash(F.col("text"))))
+    words = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) != ""
+    # rows that repeat an id and text are one before they are shuffled; the same plan at all sizes, though a small table could be broadcast
+    # (an anti join would be moved before the step that makes them one)
+    each = keyed.filter(words).dropDuplicates(key).join(gone.withColumn("__one_gone", F.lit(True)).hint("merge"), key, "left").filter("__one_gone IS NULL")
+    return each.select(*docs.columns).unionByName(keyed.filter(~words).select(*docs.columns))
