@@ -15,7 +15,9 @@ Jaccard similarity is at least num / den.
    shingles, their size range and smallest bit count. A dual traversal from the root drops pairs of tree nodes
    whose largest possible overlap is too small, and pairs that lie in one component already. What is left is compared exactly.
 3. Groups of over BLOCK nodes are cut into blocks, each joined in a task of its own together with about ANCHORS common
-   nodes. Nodes that are not in the group's largest component after that meet all its blocks.
+   nodes. Up to BLOCK nodes that are not in the group's largest component after that meet all its blocks. Groups with more of
+   them are chains of which few nodes share a key: there, those that share a key are a group each (keys of the same nodes are one, keys within a
+   component go), so that sets still meet if they share any key. Groups by key that are over BLOCK nodes are cut into blocks again.
 
 No pair list of a group is ever written: a tree gives at most one link fewer than it has nodes.
 
@@ -312,8 +314,33 @@ def _sets(k: int):
     return run
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b that connect what all links connect. sets: comp, node, n, shingles."""
+def _keys(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(keys_of(np.frombuffer(s.as_buffer(), np.uint64), num, den)) for s in batch.column(2)]
+            node, label = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in keys]) for c in (0, 1))
+            key = np.concatenate(keys).view(np.int64) if keys else node
+            yield pa.record_batch([pa.array(key), pa.array(node), pa.array(label)], names=["key", "node", "label"])
+
+    return run
+
+
+def _by_key(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (comp, node, n, label, shingles) with a group, comp, for each key that nodes of different labels share: a node stands in several."""
+    keyed = materialize(sets.select("node", "label", "shingles").mapInArrow(_keys(num, den), "key long, node long, label long"), "keyed")
+    # keys of the same nodes: as many, and two sums (without carry) of their hashes agree
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (3, 4)]
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("label").alias("low"), F.max("label").alias("high"), *same).filter("low < high")
+    chosen = shared.groupBy("nodes", "x3", "x4").agg(F.min("key").alias("key")).select("key")
+    members = keyed.join(chosen, "key").select(F.col("key").alias("comp"), "node")
+    out = materialize(sets.drop("comp").join(members.hint("merge"), "node").select("comp", "node", "n", "label", "shingles"), "shingles-by-key")
+    discard(keyed)
+    return out
+
+
+def _links(sets: DataFrame, num: int, den: int, before: DataFrame | None = None) -> DataFrame:
+    """Links a, b that connect what all links connect. sets: comp, node, n, shingles; or by key, with the label that the links before give, which come
+    back too."""
     sizes = materialize(
         sets.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
         .withColumn("blocks", F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")), "group-sizes",
@@ -321,26 +348,32 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
     whole = sizes.filter("blocks = 1").agg(F.sum("total").alias("t"), F.sum("nodes").alias("n")).first()
     bundles = max(1, -(-(whole["t"] or 0) // (BLOCK_SHINGLES // 2)), -(-(whole["n"] or 0) // BLOCK))
     join = lambda df, *keys: df.groupBy(*keys).applyInArrow(_join_groups(num, den), "a long, b long")
-    dealt = sets.join(sizes.select("comp", "blocks", "nodes"), "comp").withColumn("label", F.col("node"))
+    dealt = sets.join(sizes.select("comp", "blocks", "nodes"), "comp")
+    dealt = dealt.withColumn("label", F.col("node")) if before is None else dealt
     small = dealt.filter("blocks = 1").withColumn("bundle", F.pmod(F.xxhash64("comp"), F.lit(bundles)))
     big = sizes.filter("blocks > 1")
     if big.isEmpty():
         only = materialize(join(small, "bundle"), "links")
         discard(sizes)
-        return only
+        return only if before is None else before.union(only)
     large = dealt.filter("blocks > 1").withColumn("__h", F.xxhash64("node"))
     block = F.pmod("__h", F.col("blocks")).cast("int")
     anchor = F.pmod(F.xxhash64("node", F.lit(2)), F.col("nodes")) < ANCHORS  # about as many of each group
     spread = large.withColumn("block", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
     first = materialize(join(small, "bundle").union(join(spread, "comp", "block")), "links")
+    first = first if before is None else before.union(first)
     found = components(first)
     # nodes outside the largest component of a large group meet all of the group
     now = large.drop("label").join(found.withColumnRenamed("label", "found"), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
     counts = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("most < all")
-    if main.isEmpty():
-        discard(sizes, found)
+    mains = materialize(main, "mains")
+    many = F.col("all") - F.col("most") > BLOCK  # all of these with all blocks would be the square of the group
+    if mains.isEmpty():
+        discard(sizes, found, mains)
         return first
+    chains = mains.filter(many) if before is None else mains.limit(0)
+    main = mains.filter(~many) if before is None else mains
     rest = now.join(main, "comp").withColumn("outside", F.col("label") != F.col("main")).withColumn("parts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     every = F.pmod("__h", F.col("blocks")).cast("int")
@@ -353,8 +386,13 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         )).alias("task"),
     )
     more = materialize(join(tasks.select("comp", "node", "label", "shingles", "task.p", "task.q"), "comp", "p", "q"), "links")
-    discard(sizes, found)
-    return first.union(more)
+    links = first.union(more)
+    if not chains.isEmpty():
+        keyed = _by_key(now.join(chains.select("comp"), "comp").select("comp", "node", "n", "label", "shingles"), num, den)
+        links = _links(keyed, num, den, links)
+        discard(keyed)
+    discard(sizes, found, mains)
+    return links
 
 
 def components_of(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -151,3 +151,41 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(30, 60)] + [(7, 7), (3, 2)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([*range(80, 110)], 80)}
+
+
+@pytest.mark.parametrize("size", [600, 1200])
+def test_chained_families_cost_their_own_size(spark, monkeypatch, size):
+    """A group of many families that only chains hold together: the rows that the trees get grow with the nodes, not with their square."""
+    rng = np.random.default_rng(5)
+    sets, family = [], []
+    for i in range(size // 4):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for j in range(4):  # copies with ever more shingles swapped: some link
+            own = base.copy()
+            own[: (0, 3, 12, 30)[j]] = rng.integers(0, 1 << 63, (0, 3, 12, 30)[j], dtype=np.uint64)
+            sets.append(np.unique(own))
+            family.append(i)
+    node = {jaccard.node_of(s): (i, s) for i, s in zip(family, sets, strict=True)}
+    given = spark.createDataFrame([(1, x, len(s), s.tobytes()) for x, (_, s) in node.items()], "comp long, node long, n long, shingles binary")
+    met, plain = spark.sparkContext.accumulator(0), jaccard._join_groups
+
+    def counted(num, den):
+        run = plain(num, den)
+
+        def count(table):
+            met.add(table.num_rows)
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    monkeypatch.setattr(jaccard, "_join_groups", counted)
+    label = {r["node"]: r["label"] for r in components(jaccard._links(given.repartition(4), 85, 100)).collect()}
+    for x, (i, s) in node.items():
+        for y, (j, t) in node.items():
+            if x < y and i == j:
+                common = len(np.intersect1d(s, t))
+                if common * 100 >= 85 * (len(s) + len(t) - common):
+                    assert label[x] == label[y]
+    assert all(node[x][0] == node[y][0] for x, y in label.items())
+    assert met.value <= 12 * size  # cut into blocks at random: a node goes to size / 32 tasks and more
