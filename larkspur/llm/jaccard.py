@@ -15,9 +15,9 @@ Jaccard similarity is at least num / den.
    shingles, their size range and smallest bit count. A dual traversal from the root drops pairs of tree nodes
    whose largest possible overlap is too small, and pairs that lie in one component already. What is left is compared exactly.
 3. Groups of over BLOCK nodes are cut into blocks, each joined in a task of its own together with about ANCHORS common
-   nodes. Up to BLOCK nodes that are not in the group's largest component after that meet all its blocks. Groups with more of
-   them are chains of which few nodes share a key: there, those that share a key are a group each (keys of the same nodes are one, keys within a
-   component go), so that sets still meet if they share any key. Groups by key that are over BLOCK nodes are cut into blocks again.
+   nodes. The nodes that are not in the group's largest component after that meet all its blocks, where they are up to BLOCK or that takes a node to no more than about MEET
+   tasks. Groups with more of them are chains of which few nodes share a key: there, those that share a key are a group each (keys of the same two smallest nodes are one, keys
+   within a component go), so that sets still meet if they share any key. Groups by key that are over BLOCK nodes are cut into blocks again.
 
 No pair list of a group is ever written: a tree gives at most one link fewer than it has nodes.
 
@@ -40,7 +40,7 @@ from .graph import components, forest
 from .store import discard, materialize
 from .text import SPACES, chunks, joined, mix, words
 
-PARTS, BLOCK, BLOCK_SHINGLES, ANCHORS, FLUSH = 50, 1024, 2_000_000, 8, 1 << 20
+PARTS, BLOCK, BLOCK_SHINGLES, ANCHORS, MEET, FLUSH = 50, 1024, 2_000_000, 8, 8, 1 << 20
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * _ODD)
 
@@ -317,39 +317,80 @@ def _sets(k: int):
 def _keys(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.unique(keys_of(np.frombuffer(s.as_buffer(), np.uint64), num, den)) for s in batch.column(2)]
-            node, label = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in keys]) for c in (0, 1))
+            keys = [np.unique(keys_of(np.frombuffer(s.as_buffer(), np.uint64), num, den)) for s in batch.column(3)]
+            node, label, n = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in keys]) for c in (0, 1, 2))
             key = np.concatenate(keys).view(np.int64) if keys else node
-            yield pa.record_batch([pa.array(key), pa.array(node), pa.array(label)], names=["key", "node", "label"])
+            yield pa.record_batch([pa.array(key), pa.array(node), pa.array(label), pa.array(n)], names=["key", "node", "label", "n"])
 
     return run
 
 
-def _by_key(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets (comp, node, n, label, shingles) with a group, comp, for each key that nodes of different labels share: a node stands in several."""
-    keyed = materialize(sets.select("node", "label", "shingles").mapInArrow(_keys(num, den), "key long, node long, label long"), "keyed")
-    # keys of the same nodes: as many, and two sums (without carry) of their hashes agree
-    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (3, 4)]
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes"), F.min("label").alias("low"), F.max("label").alias("high"), *same).filter("low < high")
-    chosen = shared.groupBy("nodes", "x3", "x4").agg(F.min("key").alias("key")).select("key")
-    members = keyed.join(chosen, "key").select(F.col("key").alias("comp"), "node")
-    out = materialize(sets.drop("comp").join(members.hint("merge"), "node").select("comp", "node", "n", "label", "shingles"), "shingles-by-key")
-    discard(keyed)
-    return out
-
-
-def _links(sets: DataFrame, num: int, den: int, before: DataFrame | None = None) -> DataFrame:
-    """Links a, b that connect what all links connect. sets: comp, node, n, shingles; or by key, with the label that the links before give, which come
-    back too."""
-    sizes = materialize(
-        sets.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"))
-        .withColumn("blocks", F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")), "group-sizes",
-    )
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, label, n) in order: the nodes of each key with a number, comp, for the key's two smallest nodes; those of several keys with one comp
+    once, for FLUSH rows in hand. A key whose nodes have one label goes, unless it goes on in another batch. Of a key that goes on, two rows are held."""
+    last, made = np.zeros((0, 4), np.int64), False  # the first rows of the key that the last batch ended in, and whether they are in hand
+    held: list[np.ndarray] = []
+
+    def once():
+        rows = np.unique(np.concatenate(held), axis=0) if held else last[:0]
+        held.clear()
+        return rows
+
+    def out(rows):
+        return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["comp", "node", "label", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns], 1)])
+        first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        many = np.diff(np.append(first, len(rows)))
+        keep = np.minimum.reduceat(rows[:, 2], first) < np.maximum.reduceat(rows[:, 2], first)
+        keep[0] |= made
+        last, made = rows[first[-1] : first[-1] + 2], bool(many[-1] > 1)
+        keep[-1] |= made
+        one, two = (rows[np.minimum(first + i, len(rows) - 1), 1].view(np.uint64) for i in (0, 1))
+        comp = mix(one * _ODD ^ two).view(np.int64)
+        rows[:, 0] = np.repeat(comp, many)
+        held.append(rows[np.repeat(keep, many)])
+        last = np.concatenate([np.full((len(last), 1), batch.column(0)[-1].as_py(), np.int64), last[:, 1:]], 1)
+        if sum(map(len, held)) >= FLUSH:
+            held.append(once())
+            if len(held[0]) >= FLUSH // 2:
+                yield out(once())
+    yield out(once())
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """Of members (comp, n, label): each group's nodes and blocks, the sum of n, and the smallest and largest label."""
+    return members.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).withColumn(
+        "blocks", F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    )
+
+
+def _by_key(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """sets (comp, node, n, label, shingles) in groups, comp, that hold the nodes of every key that nodes of different labels share: a node stands in several. Keys
+    with the same two smallest nodes are one group: keys with nearly the same nodes mostly have them in common. Also the groups' sizes."""
+    keyed = sets.select("node", "label", "n", "shingles").mapInArrow(_keys(num, den), "key long, node long, label long, n long")
+    headed = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_heads, "comp long, node long, label long, n long")
+    members = materialize(headed.distinct(), "members")
+    sizes = materialize(_sizes(members).filter("low < high"), "group-sizes")
+    dealt = members.select("comp", "node").join(sizes.select("comp", "nodes", "blocks"), "comp")
+    out = materialize(sets.drop("comp").join(dealt.hint("merge"), "node").select("comp", "node", "n", "label", "shingles", "nodes", "blocks"), "shingles-by-key")
+    discard(members)
+    return out, sizes
+
+
+def _links(sets: DataFrame, num: int, den: int, before: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Links a, b that connect what all links connect. sets: comp, node, n, shingles; or by key as _by_key gives them, with the label that the links before
+    give, which come back too."""
+    if before is None:
+        sets = sets.withColumn("label", F.col("node"))
+        sizes = materialize(_sizes(sets), "group-sizes")
     whole = sizes.filter("blocks = 1").agg(F.sum("total").alias("t"), F.sum("nodes").alias("n")).first()
     bundles = max(1, -(-(whole["t"] or 0) // (BLOCK_SHINGLES // 2)), -(-(whole["n"] or 0) // BLOCK))
     join = lambda df, *keys: df.groupBy(*keys).applyInArrow(_join_groups(num, den), "a long, b long")
-    dealt = sets.join(sizes.select("comp", "blocks", "nodes"), "comp")
-    dealt = dealt.withColumn("label", F.col("node")) if before is None else dealt
+    dealt = sets.join(sizes.select("comp", "blocks", "nodes"), "comp") if before is None else sets
     small = dealt.filter("blocks = 1").withColumn("bundle", F.pmod(F.xxhash64("comp"), F.lit(bundles)))
     big = sizes.filter("blocks > 1")
     if big.isEmpty():
@@ -368,7 +409,8 @@ def _links(sets: DataFrame, num: int, den: int, before: DataFrame | None = None)
     counts = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("most < all")
     mains = materialize(main, "mains")
-    many = F.col("all") - F.col("most") > BLOCK  # all of these with all blocks would be the square of the group
+    outside, blocks = (F.ceil(x / BLOCK) for x in (F.col("all") - F.col("most"), F.col("all")))
+    many = (outside > 1) & (outside + blocks > MEET)  # all of these with all blocks would be the square of the group
     if mains.isEmpty():
         discard(sizes, found, mains)
         return first
@@ -388,8 +430,8 @@ def _links(sets: DataFrame, num: int, den: int, before: DataFrame | None = None)
     more = materialize(join(tasks.select("comp", "node", "label", "shingles", "task.p", "task.q"), "comp", "p", "q"), "links")
     links = first.union(more)
     if not chains.isEmpty():
-        keyed = _by_key(now.join(chains.select("comp"), "comp").select("comp", "node", "n", "label", "shingles"), num, den)
-        links = _links(keyed, num, den, links)
+        keyed, keyed_sizes = _by_key(now.join(chains.select("comp"), "comp").select("comp", "node", "n", "label", "shingles"), num, den)
+        links = _links(keyed, num, den, links, keyed_sizes)
         discard(keyed)
     discard(sizes, found, mains)
     return links

@@ -189,3 +189,57 @@ def test_chained_families_cost_their_own_size(spark, monkeypatch, size):
                     assert label[x] == label[y]
     assert all(node[x][0] == node[y][0] for x, y in label.items())
     assert met.value <= 12 * size  # cut into blocks at random: a node goes to size / 32 tasks and more
+
+
+def test_nodes_that_share_many_keys_stand_in_few_groups(spark, monkeypatch):
+    """A family whose members share most of their keys and hardly link: by key, each would be dealt once for each key that it shares."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 140, dtype=np.uint64)
+    sets = {}
+    for i in range(400):
+        own = rng.integers(0, 1 << 63, 140, dtype=np.uint64)
+        at = rng.permutation(140)[: 8 if i % 4 else 14]  # two that have 8 of 140 swapped link at 85; two with 14 at times do not
+        s = np.unique(np.where(np.isin(np.arange(140), at), own, base))
+        sets[jaccard.node_of(s)] = s
+    given = spark.createDataFrame([(1, x, len(s), s.tobytes(), x) for x, s in sets.items()], "comp long, node long, n long, shingles binary, label long")
+    made, plain = {}, jaccard.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    found = jaccard._by_key(given.repartition(4), 85, 100)
+    rows = (found[0] if isinstance(found, tuple) else found).select("comp", "node").collect()
+    assert made["shingles-by-key"] == [len(rows)] and len(rows) <= 25 * len(sets)
+    groups = {}
+    for comp, node in rows:
+        groups.setdefault(node, set()).add(comp)
+    keys = {x: set(jaccard.keys_of(s, 85, 100).tolist()) for x, s in sets.items()}
+    nodes = list(sets)
+    assert all(groups[x] & groups[y] for i, x in enumerate(nodes) for y in nodes[:i] if keys[x] & keys[y])
+
+
+def test_keys_that_go_on_in_another_batch_keep_their_nodes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 3, 30)
+    nodes_of = {key: np.sort(rng.permutation(30)[: rng.integers(1, 14)]) for key in range(200)}
+    rows = np.array([(key, node, label[node], 5) for key, nodes in nodes_of.items() for node in nodes], np.int64)
+    for size in (1, 2, 7, 100, len(rows)):
+        batches = [pa.record_batch([pa.array(c) for c in rows[a : a + size].T], names=["key", "node", "label", "n"]) for a in range(0, len(rows), size)]
+        groups = {}
+        for batch in jaccard._heads(iter(batches)):
+            for row in batch.to_pylist():
+                assert row["label"] == label[row["node"]] and row["n"] == 5
+                groups.setdefault(row["comp"], set()).add(row["node"])
+        for nodes in nodes_of.values():
+            if len(set(label[nodes])) > 1:
+                assert any(group >= set(nodes.tolist()) for group in groups.values())
+        allowed = {tuple(nodes[:2]): set() for nodes in nodes_of.values() if len(nodes) > 1}
+        for nodes in nodes_of.values():
+            if len(nodes) > 1:
+                allowed[tuple(nodes[:2])] |= set(nodes.tolist())
+        assert len(groups) <= len(allowed) and all(any(group <= whole for whole in allowed.values()) for group in groups.values())
