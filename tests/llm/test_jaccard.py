@@ -191,6 +191,25 @@ def test_chained_families_cost_their_own_size(spark, monkeypatch, size):
     assert met.value <= 12 * size  # cut into blocks at random: a node goes to size / 32 tasks and more
 
 
+@pytest.mark.parametrize("few", [0, 25])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr("larkspur.llm.graph.FEW", few, raising=False)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(30, 60)] + [(7, 7), (3, 2), (100, 50 + 30)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([*range(80, 110)], 80)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    from larkspur.llm import graph
+
+    written, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    got = dict(components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(8)).collect())
+    assert got == dict.fromkeys(range(201), 0)
+    assert written == ["edges", "hooks"]  # each round writes three tables
+
+
 def test_nodes_that_share_many_keys_stand_in_few_groups(spark, monkeypatch):
     """A family whose members share most of their keys and hardly link: by key, each would be dealt once for each key that it shares."""
     rng = np.random.default_rng(8)
