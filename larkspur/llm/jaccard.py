@@ -41,6 +41,8 @@ from .store import discard, materialize
 from .text import SPACES, chunks, joined, mix, words
 
 PARTS, BLOCK, BLOCK_SHINGLES, ANCHORS, MEET, FLUSH = 50, 1024, 2_000_000, 8, 8, 1 << 20
+#: Rows of a batch given to Spark, which holds it outside its heap.
+ROWS = 1 << 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * _ODD)
 
@@ -128,8 +130,11 @@ def _route(k: int, num: int, den: int):
             order = np.lexsort((node, key))
             key, node, a, b = _stars(key[order], node[order])
             order = np.argsort(node, kind="stable")
-            yield _routed(len(key), key=key[order], node=node[order])
-            yield _routed(len(a), node=a, other=b)
+            key, node = key[order], node[order]
+            for i in range(0, len(key), ROWS):
+                yield _routed(len(key[i : i + ROWS]), key=key[i : i + ROWS], node=node[i : i + ROWS])
+            for i in range(0, len(a), ROWS):
+                yield _routed(len(a[i : i + ROWS]), node=a[i : i + ROWS], other=b[i : i + ROWS])
 
         for batch in batches:
             for i, j, buf, offsets in chunks(batch.column(2)):
@@ -175,7 +180,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, heads, a, b = _stars(key, node)
         last_key, head = key[-1], heads[-1]
         held.append((a, b))
-        if sum(len(x) for x, _ in held) >= FLUSH:
+        if sum(len(x) for x, _ in held) >= FLUSH // 4:  # forest() takes over 250 bytes an edge
             yield flush()
     yield flush()
 
