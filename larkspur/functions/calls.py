@@ -208,6 +208,12 @@ def like(op: str, v: Value, pattern: Value, escape: Value | None = None) -> Valu
     return condition(F.regexp_like(text(v), F.lit(f"(?s)\\A{out}\\z")))
 
 
+def edge(name: str, args: list[Value], number: Column, spec: WindowSpec) -> Value:
+    """first_value or last_value over a window whose rows have numbers that also tell peers apart."""
+    pick = F.min_by if name.lower() == "first_value" else F.max_by
+    return Value(pick(args[0].col, number).over(spec), args[0].kind, args[0].affinity)
+
+
 def windowed(name: str, args: list[Value], distinct: bool, spec: WindowSpec) -> Value:
     """A ranking, offset or aggregate function over a window."""
     n = name.lower()

@@ -11,9 +11,10 @@ from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import values as V
-from ..functions.calls import aggregate, choose, collated, constant, is_aggregate, like, scalar, where, windowed
+from ..functions.calls import aggregate, choose, collated, constant, edge, is_aggregate, like, scalar, where, windowed
 from ..functions.values import Value
 from ..operators.rows import cut, ordered, sort_key
 from ..operators.sets import combine
@@ -68,6 +69,7 @@ class Scope:
     def __init__(self, parts: list[Part], lowering: Lowering):
         self.parts, self.aliases = parts, {}
         self.known: dict[Node, Value] = {}  # grouped expressions
+        self.storage: tuple[str, ...] = ()  # columns of the storage order, which decides between peers of a window
         self.lowering, self.outer = lowering, lowering.outer  # outer: the scope around a subquery
         self.base = lowering.base  # begins the names of a subquery's columns, which must differ from those around it
 
@@ -170,7 +172,7 @@ class Scope:
             case Cast(operand, kind):
                 return V.cast(self.value(operand), kind)
             case Windowed(call, partition, order, frame):
-                spec = Window.partitionBy(*[self.value(p).col for p in partition]).orderBy(*[self.key(k) for k in order])
+                spec = self.window(partition, order, by_rows(node))
                 if frame:
                     low = Window.unboundedPreceding if frame.low is None else frame.low
                     high = Window.unboundedFollowing if frame.high is None else frame.high
@@ -185,6 +187,8 @@ class Scope:
                 args = [] if call.args == (Star(),) else [self.value(a) for a in call.args]
                 if call.where is not None:
                     args = where(args, V.truth(self.value(call.where)))
+                if ("rows", partition, order) in self.known and by_peers(node):
+                    return edge(call.name, args, self.known[("rows", partition, order)].col, spec)
                 return windowed(call.name, args, call.distinct, spec)
             case Call(name, (pattern, operand, escape), _) if name.lower() == "like":
                 return like("LIKE", self.value(operand), self.value(pattern), self.value(escape))
@@ -194,6 +198,11 @@ class Scope:
                 return scalar(name, [self.value(a) for a in args])
         raise V.DialectError(f"misuse of {title(node)}")
 
+    def window(self, partition: tuple[Node, ...], order: tuple[Key, ...], total: bool) -> WindowSpec:
+        """total: peers stand in storage order, as far as there is one."""
+        keys = [*[self.key(k) for k in order], *[F.col(c) for c in self.storage if total]]
+        return Window.partitionBy(*[self.value(p).col for p in partition]).orderBy(*keys)
+
     def key(self, k: Key) -> Column:
         return sort_key(collated(self.value(k.expr), _collation(k.expr)), k.descending, k.nulls_first)
 
@@ -236,6 +245,16 @@ def aggregates(node: object) -> list[Call]:
     return [x for x in walk(node) if isinstance(x, Call) and is_aggregate(x.name, len(x.args)) and x not in over]
 
 
+def by_rows(node: Windowed) -> bool:
+    """Whether the result depends on the order of peers through single rows."""
+    return node.call.name.lower() in ("row_number", "ntile", "lag", "lead") or node.frame is not None and node.frame.unit == "ROWS"
+
+
+def by_peers(node: Windowed) -> bool:
+    """Whether it does so in a frame that holds peers together."""
+    return node.call.name.lower() in ("first_value", "last_value") and not by_rows(node)
+
+
 def _outside(node: object) -> Iterator[object]:
     """walk(), but not into aggregate calls."""
     if isinstance(node, tuple):
@@ -401,7 +420,9 @@ class Lowering:
         if plain and not order and limit is not None:
             self.only = self._first(core, limit + offset)
         try:
-            df, scope, storage = self._from(core, order, self.only is not None or plain and (bool(order) or limit is not None or offset > 0))
+            ties = not grouped and any(isinstance(x, Windowed) and (by_rows(x) or by_peers(x)) for x in walk((core.items, order)))
+            df, scope, storage = self._from(core, order, self.only is not None or ties or plain and (bool(order) or limit is not None or offset > 0))
+            scope.storage = () if grouped else storage
         finally:
             self.only = None
         items = self._items(core.items, scope)
@@ -471,8 +492,11 @@ class Lowering:
                 if not isinstance(node, kinds):
                     continue
                 if isinstance(node, Windowed) and node.frame and node.frame.unit == "GROUPS":
-                    spec = Window.partitionBy(*[scope.value(p).col for p in node.partition]).orderBy(*[scope.key(k) for k in node.order])
+                    spec = scope.window(node.partition, node.order, False)
                     df = self._named(df, scope, ("peers", node.partition, node.order), Value(F.dense_rank().over(spec).cast("long"), "int"))
+                if isinstance(node, Windowed) and by_peers(node) and scope.storage:
+                    spec = scope.window(node.partition, node.order, True)
+                    df = self._named(df, scope, ("rows", node.partition, node.order), Value(F.row_number().over(spec).cast("long"), "int"))
                 df = self._named(df, scope, node, scope.value(node))
         return df
 

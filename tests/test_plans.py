@@ -1,5 +1,9 @@
 """What Spark makes of statements over Parquet."""
 
+import sqlite3
+
+import duckdb
+import pandas as pd
 import pytest
 
 from larkspur import catalogue
@@ -91,3 +95,54 @@ def test_order_is_kept(engine):
     assert rows == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     first = [r[0] for r in engine.plan("SELECT c_mktsegment FROM ncust ORDER BY c_mktsegment").collect()]
     assert first == sorted(first, key=lambda x: (x is not None, x or ""))
+
+
+def test_peers_of_a_window_stand_in_storage_order(spark, tmp_path):
+    (tmp_path / "t.parquet").mkdir()
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t(v INTEGER, k INTEGER, p INTEGER)")
+    start = 0
+    for i, n in enumerate((40, 400, 90)):  # Spark reads the largest file first
+        rows = [((7919 * v) % 1009, v % 5, v % 3) for v in range(start, start + n)]
+        spark.createDataFrame(rows, "v long, k long, p long").coalesce(1).write.parquet(str(tmp_path / f"made-{i}"))
+        next((tmp_path / f"made-{i}").glob("part-*")).rename(tmp_path / "t.parquet" / f"{i}.parquet")
+        db.executemany("INSERT INTO t VALUES(?,?,?)", rows)
+        start += n
+    e = Engine(spark, parquet=str(tmp_path))
+    for sql in (  # one window each: SQLite sorts for a second one what the first has sorted
+        "SELECT v, row_number() OVER (ORDER BY k DESC) AS r, rank() OVER (ORDER BY k DESC) AS a FROM t",
+        "SELECT v, row_number() OVER (PARTITION BY p ORDER BY k) AS r FROM t",
+        "SELECT v, ntile(7) OVER (ORDER BY k) AS n, lag(v) OVER (ORDER BY k) AS b FROM t",
+        "SELECT v, lead(v, 2) OVER (PARTITION BY p ORDER BY k DESC) AS l FROM t",
+        "SELECT v, sum(v) OVER (ORDER BY k ROWS 3 PRECEDING) AS s, sum(v) OVER (ORDER BY k) AS peers, count(*) OVER (ORDER BY k RANGE 1 PRECEDING) AS c FROM t",
+        "SELECT v, first_value(v) OVER (ORDER BY k) AS f, last_value(v) OVER (ORDER BY k) AS l FROM t",
+        "SELECT v, last_value(v) OVER (PARTITION BY p ORDER BY k DESC) AS l FROM t",
+        "SELECT v, last_value(v) OVER (ORDER BY k GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g FROM t",
+        "SELECT v, first_value(v) OVER (ORDER BY k RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f FROM t",
+        "SELECT v, last_value(v) OVER (PARTITION BY p) AS l FROM t",
+        "SELECT v, row_number() OVER () AS r FROM t WHERE p > 0",
+        "SELECT DISTINCT row_number() OVER (ORDER BY k) - v AS d FROM t",
+        "SELECT rowid AS i, row_number() OVER (ORDER BY k) AS r FROM t ORDER BY k, r LIMIT 70",
+        "SELECT p, count(*) AS n, row_number() OVER (ORDER BY p) AS r FROM t GROUP BY p",
+        "SELECT p FROM t WHERE v IN (SELECT row_number() OVER (ORDER BY k) FROM t)",
+    ):
+        assert sorted(map(repr, map(tuple, e.plan(sql).collect()))) == sorted(map(repr, db.execute(sql).fetchall())), sql
+
+
+def test_sort_whole_over_copies(spark, tmp_path):
+    """Rows, numbers and order as SQLite gives them; DuckDB's SQL leaves the numbers of peers open, but not those of their group."""
+    rows = spark.read.parquet(f"{DIR}/customer.parquet").toPandas()[["c_custkey", "c_mktsegment", "c_acctbal"]]
+    (tmp_path / "customer.parquet").mkdir()
+    files = []
+    for i, copies in enumerate((range(1), range(1, 6), range(6, 8))):
+        files.append(pd.concat([rows.assign(c_custkey=rows.c_custkey + 1000 * c) for c in copies]).sample(frac=1, random_state=i))
+        files[-1].to_parquet(tmp_path / "customer.parquet" / f"{i}.parquet", index=False)
+    lite = sqlite3.connect(":memory:")
+    pd.concat(files).to_sql("customer", lite, index=False)
+    got = [tuple(r) for r in catalogue.queries()["sort_whole"](spark, str(tmp_path)).collect()]
+    assert got == lite.execute(catalogue.STATEMENTS["sort_whole"][0].replace(" at ", ' "at" ')).fetchall()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    key = {k: (s, a) for f in files for k, s, a in f.itertuples(index=False)}
+    want = db.execute(catalogue.oracle_sql()["sort_whole"]).fetchall()
+    assert sorted((n, key[k]) for k, n in got) == sorted((n, key[k]) for k, n in want) and {k for k, _ in got} == {k for k, _ in want}
